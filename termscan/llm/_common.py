@@ -93,27 +93,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 class Remembered(dict):
-    """Bytes by word; words that are not known yet are noted, and stand for nothing until they are."""
-
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.new: set = set()
-
-    def __missing__(self, word) -> bytes:
-        self.new.add(word)
-        return b""
+    """Bytes by word."""
 
     def joined(self, cut: list[list], learn) -> list[bytes]:
-        """The bytes of each row's words; learn(words) makes the new ones known."""
-        rows, again = [], []
-        for i, words in enumerate(cut):
-            before = len(self.new)
-            rows.append(b"".join(map(self.__getitem__, words)))
-            if len(self.new) > before or before and not self.new.isdisjoint(words):
-                again.append(i)
-        if self.new:
-            new, self.new = self.new, set()
-            learn(new)
-            for i in again:
-                rows[i] = b"".join(map(self.__getitem__, cut[i]))
-        return rows
+        """The bytes of each row's words; learn(words) makes those known that are new."""
+        found = [list(map(self.get, words)) for words in cut]
+        lacking = [i for i, parts in enumerate(found) if None in parts]
+        if lacking:
+            learn({w for i in lacking for w, x in zip(cut[i], found[i], strict=True) if x is None})
+            for i in lacking:
+                found[i] = [self[w] if x is None else x for w, x in zip(cut[i], found[i], strict=True)]
+        return [b"".join(parts) for parts in found]

@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Remembered, Scratch, keyed, out, raw, sliced
+from .token_counts import byte_letters
 
 END_ID = 1
 CHUNK_BITS = 8
 RANK_PLACES = 512
 #: Text bytes of an image; a longer text is an image of its own.
 IMAGE_BYTES = 4 << 20
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 _MAGIC = b"DAC1"
 _IMAGES = "part int, image int, n_docs int, n_tokens long, body binary"
@@ -148,6 +149,7 @@ class WordEncoder:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -155,6 +157,10 @@ class WordEncoder:
         steps = [x.get("type") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         clean = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
         self.by_word = steps == ["Split", "ByteLevel"] and clean == ["NFC", "Replace", "Lowercase"] and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]) and spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed"
+        # letters below U+0130 are lowered one by one and have no other normal form, so the model alone is enough for them
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.letters = {b: c for b, c in byte_letters().items() if b != 32}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -162,17 +168,21 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Letters alone are one pre-token, so many words go as one text and part where a token ends a word."""
-        shown = [w.decode() for w in words]
-        letters = [w for w in shown if w.isalpha()]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4 if len(ids) else np.zeros(0, int)
-        rest = shown
-        if len(cuts) == len(letters):  # each has one end at least, so each has one
-            body, at = ids.tobytes(), 0
-            for w, end in zip(letters, cuts.tolist(), strict=True):
-                self.words[w.encode()] = body[at:end]
-                at = end
-            rest = [w for w in shown if not w.isalpha()]
+        letters, keys, rest = [], [], []
+        for key in words:
+            w = key.decode()
+            if w.isalpha() and (w.isascii() or max(w) < "\u0130"):
+                letters.append(w)
+                keys.append(key)
+            else:
+                rest.append(w)
+        text = " ".join(letters).lower().encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist() if len(ids) else []
+        body, at = ids.tobytes(), 0
+        for key, end in zip(keys, ends, strict=True):
+            self.words[key] = body[at:end]
+            at = end
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words[w.encode()] = np.array(e.ids, "<u4").tobytes()
 
@@ -181,7 +191,7 @@ class WordEncoder:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in rows], add_special_tokens=False)]
         # ASCII letters are lowered here already, but not where a special token could arise by it
-        cut = [(t if b"<" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in rows]
+        cut = [(t if b"<" in t else t.lower()).split() for t in rows]
         if len(self.words) > REMEMBERED:
             self.words = Remembered({b"": b""})
         return self.words.joined(cut, self._learn_marked)
