@@ -36,8 +36,8 @@ from ._common import Scratch, keyed, out, raw, sliced
 LENGTH = 200
 GRAM = 32
 BATCHES = 2
-#: A gram's different contexts that are compared in one task; grams with more have their strings compared by digest.
-TOGETHER = 512
+#: A gram's different contexts that are compared in one task (some 5 MB); grams with more have their strings compared by digest.
+TOGETHER = 16_384
 
 _BASE = 0x5851F42D4C957F2D
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
