@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     hubs = store.put(postings.groupBy("token").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("df")).where("df > 1"), "hubs")
     shared = store.put(postings.join(hubs.select("token", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("m")), "token"), "shared")
     possible = lambda df: df.where(F.greatest(F.expr(f"n - {_prefix_sql('n', percent)} + c"), F.expr(f"m - {_prefix_sql('m', percent)} + c")) >= enough).where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    star = possible(shared.where("cid <> hub").groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))).select("a", "b")
+    star = possible(shared.where("cid <> hub").groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")))
+    star = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")  # the hub that agrees most
     pairs = store.put(star.unionByName(inside), "pairs1")
     wanted = pairs.selectExpr("explode(array(a, b)) cid").distinct()
     sets = store.put(_fetched(rows, classes, store.put(wanted, "wanted1"), words), "sets1")
