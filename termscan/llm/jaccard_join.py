@@ -35,8 +35,9 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-#: Shingles that a task counts at a time, how often one must come up there to count as frequent, and how many are shared at most.
-COUNTED, OFTEN, SHARED = 4_000_000, 5, 1_000_000
+#: Shingles that a task counts at a time, how often one must come up there to be counted, how often in all to be frequent,
+#: and how many are shared at most.
+COUNTED, OFTEN, FREQUENT, SHARED = 4_000_000, 3, 30, 1_000_000
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
 FETCH_BROADCAST = 1_000_000
 
@@ -99,7 +100,7 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
         if parts and held:
             yield counted(parts)
 
-    top = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(SHARED).select("h")
+    top = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(SHARED).select("h")
     return np.sort(np.array([r[0] for r in top.toLocalIterator()], np.int64).view(np.uint64))
 
 
