@@ -36,7 +36,7 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str, **by) -> DataFrame:
         path = f"{self.dir}/{name}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         if "partition" in by:
             writer = writer.partitionBy(by["partition"])
         writer.parquet(path)
