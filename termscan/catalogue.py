@@ -421,8 +421,8 @@ def message_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = "SELECT doc_id AS message_id, t.term_id, t.failed, t.post_filter FROM documents, (VALUES ('license', FALSE, FALSE), ('that', FALSE, TRUE), ('bad', TRUE, FALSE)) t(term_id, failed, post_filter)"
-_STATES = f"""SELECT p.message_id, p.term_id, CASE WHEN failed THEN 'FAILED' WHEN only THEN 'DISCLAIMER ONLY' WHEN n IS NULL THEN 'NO HIT' WHEN post_filter THEN 'AND MATCH' ELSE 'MATCHED' END AS term_state, coalesce(n, 0) AS matches
-FROM ({_PAIRS}) p LEFT JOIN (SELECT message_id, term_id, count(*) AS n, bool_and(in_disclaimer) AS only FROM ({_LICENSED}) GROUP BY ALL) h ON p.message_id = h.message_id AND p.term_id = h.term_id"""
+_STATES = f"""SELECT p.message_id, p.term_id, CASE WHEN failed THEN 'FAILED' WHEN alone THEN 'DISCLAIMER ONLY' WHEN n IS NULL THEN 'NO HIT' WHEN post_filter THEN 'AND MATCH' ELSE 'MATCHED' END AS term_state, coalesce(n, 0) AS matches
+FROM ({_PAIRS}) p LEFT JOIN (SELECT message_id, term_id, count(*) AS n, bool_and(in_disclaimer) AS alone FROM ({_LICENSED}) GROUP BY ALL) h ON p.message_id = h.message_id AND p.term_id = h.term_id"""
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
