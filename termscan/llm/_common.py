@@ -31,6 +31,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage, and outlive any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded(spark)
         self.spark = spark
         self.dir = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -51,9 +52,16 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Rows that Spark sends to Python at once, so that a batch of long texts stays within tens of MB."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about `limit` bytes of `column`, one row at least."""
     for batch in batches:

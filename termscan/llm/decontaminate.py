@@ -131,7 +131,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
         yield block
 
 
-def _united(spans: list[int] | None) -> list[int]:
+def _united(spans):
     merged: list[int] = []
     for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)) if spans else ():
         if merged and a <= merged[-1]:

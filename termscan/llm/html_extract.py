@@ -1,7 +1,7 @@
 """Main text of web pages, by nearest-URL page differencing.
 
 A page is read into blocks of text. Pages of a host are put in the order of their URL paths; each is compared with the
-neighbour whose path begins most like its own. The blocks of the two are aligned by a longest common subsequence, and
+neighbour whose path begins most like its own (with both if alike; the one that shares more counts). The blocks of the two are aligned by a longest common subsequence, and
 blocks they share are deleted: templates, notices and menus repeat from page to page. What stands inside an explicit
 article (or main) element is kept whatever the neighbour has, since two pages may carry the same article; differencing
 decides about all other blocks.
@@ -146,10 +146,10 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[str], inside: list[bool], neighbour: list[str]) -> str:
+def main_text(lines: list[str], inside: list[bool], neighbours: list[list[str]]) -> str:
     if any(inside):
         return "\n\n".join(x for x, i in zip(lines, inside, strict=True) if i)
-    shared = common_lines(lines, neighbour)
+    shared = max((common_lines(lines, x) for x in neighbours), key=len, default=set())
     return "\n\n".join(x for i, x in enumerate(lines) if i not in shared)
 
 
@@ -183,13 +183,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out({"h": [x[0] for x in addresses], "p": [x[1] for x in addresses], "i": batch.column("page_id"), "u": batch.column("url"), "l": ["\n".join(x for x, _ in f) for f in found], "in": ["".join("01"[i] for _, i in f) for f in found]}, _READ)
 
 
-def _nearest(page: tuple, *others: tuple | None) -> list[str]:
-    """The lines of the neighbour on the same host whose path begins most like the page's; the earlier one if alike."""
-    best, lines = -1, []
-    for x in others:
-        if x and x[0] == page[0] and (n := _alike(x[1], page[1])) > best:
-            best, lines = n, x[4]
-    return lines
+def _nearest(page: tuple, *others: tuple | None) -> list[list[str]]:
+    """The lines of the neighbour on the same host whose path begins most like the page's; of both if they are alike."""
+    alike = [(_alike(x[1], page[1]), x[4]) for x in others if x and x[0] == page[0]]
+    best = max((n for n, _ in alike), default=0)
+    return [lines for n, lines in alike if n == best]
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

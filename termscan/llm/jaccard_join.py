@@ -37,7 +37,7 @@ WORDS = 5
 PERCENT = 75
 #: Shingles that a task counts at a time, how often one must come up there to be counted, how often in all to be frequent,
 #: and how many are shared at most.
-COUNTED, OFTEN, FREQUENT, SHARED = 4_000_000, 3, 30, 1_000_000
+COUNTED, OFTEN, FREQUENT, SHARED = 3_000_000, 3, 30, 1_000_000
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
 FETCH_BROADCAST = 1_000_000
 
@@ -47,7 +47,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         code = self[word] = xxhash.xxh64_intdigest(word)
         return code
@@ -153,7 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "x"):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -139,7 +139,7 @@ def _cuts(min_chars: int):
     schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "codes_b"):
             rows: list[tuple] = []
             for doc_id, same, x, y, z in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "same", "codes_a", "codes_b", "sizes_b")), strict=True):
                 sizes = np.frombuffer(z, np.int32)

@@ -29,9 +29,9 @@ from ._common import Remembered, keyed, out, sliced, texts
 
 MARK = "▁"
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Symbols that the merge rounds take at a time.
-ROUND_SYMBOLS = 1 << 20
+ROUND_SYMBOLS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -241,7 +241,8 @@ def accepted(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: shared.value.score(t or ""))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: shared.value.score(t or ""))
 
     return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
