@@ -10,7 +10,8 @@ with nothing. Two documents link when 100 * intersection >= percent * union.
 3. Classes of equal size and prefix are one group. A star ties each group to the first group of each posting list, if so
    many of its prefix shingles agree that a link is possible, and each group's members to their first; the pairs are
    verified on whole sets, and the links make components.
-4. Posting lists that still hold more than one component give all pairs between different components; those whose shared
+4. In two rounds, each class of a list that holds more than one component is tried against a few others of its lists, and
+   the components grow. Posting lists that still hold more than one component then give all pairs between different components; those whose shared
    prefix shingles leave a link possible are verified. Pairs inside a component cannot change it, so none is made.
 
 A group of thousands of near copies thus costs one pair for each member, not one for each two, and no list is cut short.
@@ -38,6 +39,8 @@ PERCENT = 75
 #: Shingles that a task counts at a time, how often one must come up there to be counted, how often in all to be frequent,
 #: and how many are shared at most.
 COUNTED, OFTEN, FREQUENT, SHARED = 3_000_000, 3, 30, 1_000_000
+#: Rounds in which classes are tried against a few others of their lists before all pairs between components are, and how many.
+ROUNDS, HUBS = 2, 6
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
 FETCH_BROADCAST = 1_000_000
 
@@ -189,11 +192,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     star = possible(shared.where("cid <> hub").groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")))
     star = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")  # the hub that agrees most
     pairs = store.put(star.unionByName(inside), "pairs1")
-    wanted = pairs.selectExpr("explode(array(a, b)) cid").distinct()
-    sets = store.put(_fetched(rows, classes, store.put(wanted, "wanted1"), words), "sets1")
-    links = store.put(_verified(pairs, sets, percent), "links1")
+    links = store.put(_checked_pairs(rows, classes, pairs, store, "star", words, percent), "links1")
     roots = components(links, store, "cc1")
-    store.drop("sets1", "pairs1", "wanted1")
+    store.drop("pairs1")
 
     # 4. what is left between components
     placed = classes.select("cid", "n", "alike").join(groups.select("n", "alike", "gid"), ["n", "alike"]).join(roots, F.col("cid") == F.col("node"), "left").select("cid", "n", "gid", F.coalesce("root", "cid").alias("root"))
@@ -203,28 +204,70 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     lists = store.put(shared.select("token", F.col("cid").alias("gid")).join(mixed, "gid").unionByName(_alone(postings, mixed)), "lists")
     open_ = store.put(lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token"), "open")
     left = store.put(lists.select("token", "gid").join(open_, "token").join(placed, "gid").select("token", "cid", "n", "root"), "left")
+    tops, proven = None, links
+    for turn in range(ROUNDS):
+        pairs = store.put(_hub_pairs(left, turn, possible), f"hubs{turn}")
+        more = store.put(_checked_pairs(rows, classes, pairs, store, f"r{turn}", words, percent), f"more{turn}")
+        proven = proven.unionByName(more)
+        merged = components(_between(more, left), store, f"cc-r{turn}").selectExpr("node", "root higher")
+        tops = merged if tops is None else _composed(tops, merged)
+        tops = store.put(tops, f"tops{turn}")
+        left = left.join(merged, F.col("root") == F.col("node"), "left").select("token", "cid", "n", F.coalesce("higher", "root").alias("root"))
+        left = store.put(left, f"left{turn}")
+        still = store.put(left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), f"still{turn}")
+        left = store.put(left.join(still, "token"), f"open{turn}")
     other = left.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     met = left.withColumnRenamed("cid", "a").join(other, "token").where(f"root < root_b and 100 * least(n, m) >= {percent} * greatest(n, m)")
     rest = store.put(possible(met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))).select("a", "b"), "pairs2")
-    wanted = store.put(rest.selectExpr("explode(array(a, b)) cid").distinct(), "wanted2")
-    sets = store.put(_fetched(rows, classes, wanted, words), "sets2")
-    more = store.put(_verified(rest, sets, percent), "links2")
-    placed_roots = placed.select("cid", "root")
-    joined = more.join(placed_roots.toDF("a", "ra"), "a").join(placed_roots.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    tops = components(joined, store, "cc2")
-    tops = tops.selectExpr("node", "root higher")
+    last = store.put(_checked_pairs(rows, classes, rest, store, "rest", words, percent), "links2")
+    more = proven.unionByName(last)
+    merged = components(_between(last, left), store, "cc2").selectExpr("node", "root higher")
+    tops = store.put(_composed(tops, merged), "all-tops")
     final = placed.join(tops, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("higher", "root").alias("top"))
     final = store.put(final, "final")
-    degree = links.unionByName(more).selectExpr("explode(array(a, b)) cid").groupBy("cid").agg(F.count("*").alias("n_links"))
+    degree = more.distinct().selectExpr("explode(array(a, b)) cid").groupBy("cid").agg(F.count("*").alias("n_links"))
     smallest = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "tops")
     ids = store.put(smallest.groupBy("top").agg(F.min("least").alias("component_id")), "ids")
     named = store.put(smallest.join(ids, "top").join(degree, "cid", "left").select("n", "digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    store.drop("lists", "left", "shared", "sets2", "pairs2", "wanted2")
+    store.drop("lists", "left", "shared", *(f"{x}{k}" for k in range(ROUNDS) for x in ("left", "open", "still", "hubs")))
     linked = whole.where("n > 0").join(named, ["n", "digest"]).select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     empty = whole.where("n = 0").select("doc_id", "same", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(empty)
 
 
+def _checked_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, store: Scratch, name: str, words: int, percent: int) -> DataFrame:
+    """The pairs a, b whose whole sets link."""
+    wanted = store.put(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), f"wanted-{name}")
+    return _verified(pairs, store.put(_fetched(rows, classes, wanted, words), f"sets-{name}"), percent)
+
+
+def _hub_pairs(left: DataFrame, turn: int, possible) -> DataFrame:
+    """Each class with up to HUBS others of other components: of its lists, the first in orders drawn anew for each turn."""
+    one = F.struct("cid", "n", "root")
+    hubs = left.groupBy("token").agg(*[F.min_by(one, F.xxhash64("cid", F.lit(turn * HUBS + k))).alias(f"h{k}") for k in range(HUBS)])
+    both = left.join(hubs, "token")
+    pairs = None
+    for k in range(HUBS):
+        hub = both.where(F.col(f"h{k}.root") != F.col("root")).select(F.col(f"h{k}.cid").alias("hub"), F.col(f"h{k}.n").alias("m"), "cid", "n")
+        counted = hub.groupBy(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b"), F.col("cid").alias("of")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+        best = possible(counted).groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("c", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+        pairs = best if pairs is None else pairs.unionByName(best)
+    return pairs.distinct()
+
+
+def _between(links: DataFrame, left: DataFrame) -> DataFrame:
+    """Links between classes as links between their components."""
+    root = left.select("cid", "root").distinct()
+    return links.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """node, higher of two mappings of roots, one after the other."""
+    after = then.toDF("mid", "top")
+    moved = first.join(after, F.col("higher") == F.col("mid"), "left").select("node", F.coalesce("top", "higher").alias("higher"))
+    return moved.unionByName(then.join(first.select("node"), "node", "left_anti"))
+
+
 def _alone(postings: DataFrame, mixed: DataFrame) -> DataFrame:
     """Lists of one group matter only if that group's members are in two components."""
     return postings.select("token", F.col("cid").alias("gid")).join(mixed.where("lo < hi"), "gid")
