@@ -19,6 +19,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -162,8 +163,8 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-_READ = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.string()), ("inside", pa.string())])
-_READ_SQL = "host string, path string, page_id long, url string, lines string, inside string"
+_READ = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.binary()), ("inside", pa.string())])
+_READ_SQL = "host string, path string, page_id long, url string, lines binary, inside string"
 _DONE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("seat", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_())), ("next_path", pa.string()), ("next_lines", pa.list_(pa.string()))])
 _DONE_SQL = "page_id long, url string, text string, part int, seat int, host string, path string, lines array<string>, inside array<boolean>, next_path string, next_lines array<string>"
 
@@ -180,7 +181,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "html"):
         addresses = [_address(u) for u in batch.column("url").to_pylist()]
         found = [blocks_of(h) for h in texts(batch, "html")]
-        yield out({"h": [x[0] for x in addresses], "p": [x[1] for x in addresses], "i": batch.column("page_id"), "u": batch.column("url"), "l": ["\n".join(x for x, _ in f) for f in found], "in": ["".join("01"[i] for _, i in f) for f in found]}, _READ)
+        yield out({"h": [x[0] for x in addresses], "p": [x[1] for x in addresses], "i": batch.column("page_id"), "u": batch.column("url"), "l": [zlib.compress("\n".join(x for x, _ in f).encode(), 3) for f in found], "in": ["".join("01"[i] for _, i in f) for f in found]}, _READ)
 
 
 def _nearest(page: tuple, *others: tuple | None) -> list[list[str]]:
@@ -205,7 +206,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "path", 1 << 15):
         rows = []
         for after in zip(*(batch.column(c).to_pylist() for c in _READ.names), strict=True):
-            after = (*after[:4], after[4].split("\n") if after[5] else [], [i == "1" for i in after[5]])  # blocks hold no line feeds
+            after = (*after[:4], zlib.decompress(after[4]).decode().split("\n") if after[5] else [], [i == "1" for i in after[5]])  # blocks hold no line feeds
             if page:
                 rows.append(done(page, before, after) if before else edge(page, 0, after))
             before, page = page, after
