@@ -11,8 +11,12 @@ with nothing. Two documents link when 100 * intersection >= percent * union.
    many of its prefix shingles agree that a link is possible, and each group's members to their first; the pairs are
    verified on whole sets, and the links make components.
 4. In two rounds, each class of a list that holds more than one component is tried against a few others of its lists, and
-   the components grow. Posting lists that still hold more than one component then give all pairs between different components; those whose shared
-   prefix shingles leave a link possible are verified. Pairs inside a component cannot change it, so none is made.
+   the components grow. Posting lists that still hold more than one component then give all pairs between different components that a bitmap
+   filter leaves; those whose shared prefix shingles leave a link possible are verified. Pairs inside a component cannot
+   change it, so none is made.
+
+The bitmap filter is exact: a set's shingles mark bits of a bitmap, and each bit that only one of two sets has stands for
+at least one shingle that the other lacks, which bounds their intersection from above.
 
 A group of thousands of near copies thus costs one pair for each member, not one for each two, and no list is cut short.
 
@@ -41,6 +45,8 @@ PERCENT = 75
 COUNTED, OFTEN, FREQUENT, SHARED = 3_000_000, 3, 30, 1_000_000
 #: Rounds in which classes are tried against a few others of their lists before all pairs between components are, and how many.
 ROUNDS, HUBS = 2, 6
+#: Longs of a set's bitmap.
+BITMAP = 16
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
 FETCH_BROADCAST = 1_000_000
 
@@ -81,6 +87,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def bitmap(codes: np.ndarray) -> np.ndarray:
+    """The longs whose bits the hashes mark."""
+    marks = np.zeros(64 * BITMAP, bool)
+    marks[codes % np.uint64(64 * BITMAP)] = True
+    return np.packbits(marks).view(np.int64)
+
+
 def _frequent(rows: DataFrame, words: int) -> np.ndarray:
     """Shingles that come up often within some task's stretch of documents, the most frequent first to be shared."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
@@ -108,14 +121,14 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, same, n, digest (of the set), alike (of size and prefix) and prefix of every row."""
+    """doc_id, same, n, digest (of the set), alike (of size and prefix), bits (its bitmap) and prefix of every row."""
     often = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("alike", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("alike", pa.binary()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = often.value
         for batch in sliced(batches):
-            ns, digests, alikes, prefixes = [], [], [], []
+            ns, digests, alikes, bits, prefixes = [], [], [], [], []
             for text in raw(batch):
                 codes = shingle_set(text, words)
                 k = prefix_size(len(codes), percent)
@@ -128,12 +141,13 @@ def _sketches(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 ns.append(len(codes))
                 digests.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
                 alikes.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
+                bits.append(bitmap(codes))
                 prefixes.append(prefix.view(np.int64))
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefixes)))
-            yield out({"doc_id": batch.column("doc_id"), "same": batch.column("same"), "n": ns, "digest": digests, "alike": alikes, "prefix": lists}, schema)
+            yield out({"doc_id": batch.column("doc_id"), "same": batch.column("same"), "n": ns, "digest": digests, "alike": alikes, "bits": bits, "prefix": lists}, schema)
 
-    return rows.mapInArrow(run, "doc_id long, same long, n int, digest binary, alike binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, same long, n int, digest binary, alike binary, bits array<long>, prefix array<long>")
 
 
 def _fetched(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -175,9 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     store = Scratch(docs.sparkSession, "jaccard-join")
     rows = keyed(docs).withColumn("same", F.xxhash64("text"))
     sketch = store.put(_sketches(rows, words, percent), "sketches")
-    classes = sketch.where("n > 0").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "same")).alias("rep"), F.min("doc_id").alias("least"), F.first("alike").alias("alike"), F.first("prefix").alias("prefix")).withColumn("cid", F.monotonically_increasing_id())
+    classes = sketch.where("n > 0").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "same")).alias("rep"), F.min("doc_id").alias("least"), F.first("alike").alias("alike"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")).withColumn("cid", F.monotonically_increasing_id())
     classes = store.put(classes, "classes")
-    whole = store.put(sketch.drop("prefix", "alike"), "members")
+    whole = store.put(sketch.drop("prefix", "bits", "alike"), "members")
     store.drop("sketches")
     enough = F.expr(f"cast(ceil({percent} * (n + m) / {100 + percent}) as long)")  # an intersection that a link needs at least
 
@@ -216,8 +230,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         left = store.put(left, f"left{turn}")
         still = store.put(left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), f"still{turn}")
         left = store.put(left.join(still, "token"), f"open{turn}")
-    other = left.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    met = left.withColumnRenamed("cid", "a").join(other, "token").where(f"root < root_b and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    marked = store.put(left.join(classes.select("cid", "bits"), "cid"), "marked")
+    other = marked.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("bits").alias("bits_b"))
+    met = marked.withColumnRenamed("cid", "a").join(other, "token").where(f"root < root_b and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    met = met.where(F.least(F.expr(f"n - {_lacking_sql('bits', 'bits_b')}"), F.expr(f"m - {_lacking_sql('bits_b', 'bits')}")) >= enough)
     rest = store.put(possible(met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))).select("a", "b"), "pairs2")
     last = store.put(_checked_pairs(rows, classes, rest, store, "rest", words, percent), "links2")
     more = proven.unionByName(last)
@@ -229,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     smallest = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "tops")
     ids = store.put(smallest.groupBy("top").agg(F.min("least").alias("component_id")), "ids")
     named = store.put(smallest.join(ids, "top").join(degree, "cid", "left").select("n", "digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    store.drop("lists", "left", "shared", *(f"{x}{k}" for k in range(ROUNDS) for x in ("left", "open", "still", "hubs")))
+    store.drop("lists", "left", "marked", "shared", *(f"{x}{k}" for k in range(ROUNDS) for x in ("left", "open", "still", "hubs")))
     linked = whole.where("n > 0").join(named, ["n", "digest"]).select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     empty = whole.where("n = 0").select("doc_id", "same", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(empty)
@@ -273,6 +289,11 @@ def _alone(postings: DataFrame, mixed: DataFrame) -> DataFrame:
     return postings.select("token", F.col("cid").alias("gid")).join(mixed.where("lo < hi"), "gid")
 
 
+def _lacking_sql(one: str, other: str) -> str:
+    """How many shingles of one bitmap's set the other's lacks, at least."""
+    return "(" + " + ".join(f"bit_count({one}[{i}] & ~{other}[{i}])" for i in range(BITMAP)) + ")"
+
+
 def _prefix_sql(n: str, percent: int) -> str:
     return f"({n} - cast(ceil({percent} * {n} / 100) as int) + 1)"
 

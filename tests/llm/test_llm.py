@@ -291,3 +291,13 @@ def test_pipeline(spark):
         assert k == len(corpus_pipeline.STAGES) - 1 or after.columns == docs.columns
         docs = Scratch(spark, "pipe").put(after, "x") if k < len(corpus_pipeline.STAGES) - 1 else after
     assert 0 < docs.count() <= 200
+
+
+def test_bitmaps_never_claim_too_much():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 700, 5000):
+        pool = rng.integers(0, 2**63, 2 * n, np.uint64)
+        a, b = np.unique(pool[: n + n // 3]), np.unique(pool[n // 3 : n + n // 2])
+        x, y = (jaccard_join.bitmap(c).view(np.uint64) for c in (a, b))
+        lacking = int(np.bitwise_count(x & ~y).sum())
+        assert lacking <= len(np.setdiff1d(a, b))
