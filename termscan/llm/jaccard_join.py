@@ -10,13 +10,14 @@ with nothing. Two documents link when 100 * intersection >= percent * union.
 3. Classes of equal size and prefix are one group. A star ties each group to the first group of each posting list, if so
    many of its prefix shingles agree that a link is possible, and each group's members to their first; the pairs are
    verified on whole sets, and the links make components.
-4. In two rounds, each class of a list that holds more than one component is tried against a few others of its lists, and
-   the components grow. Posting lists that still hold more than one component then give all pairs between different components that a bitmap
-   filter leaves; those whose shared prefix shingles leave a link possible are verified. Pairs inside a component cannot
-   change it, so none is made.
+4. Each class of a list that holds more than one component is tried against a few others of its lists, and the components
+   grow. Posting lists that still hold more than one component then give all pairs between different components that three
+   exact filters leave, and those are verified. Pairs inside a component cannot change it, so none is made.
 
-The bitmap filter is exact: a set's shingles mark bits of a bitmap, and each bit that only one of two sets has stands for
-at least one shingle that the other lacks, which bounds their intersection from above.
+The filters lose no link. Position: if a list's shingle is the first that two sets share, no shingle before it in either is
+shared, so what follows must suffice. Earlier: a pair is left out of a list if one of the last few shingles before the list's
+is shared too, since then the list of an earlier one gives it. Bitmap: a set's shingles mark bits of a bitmap, and each bit
+that only one of two sets has stands for at least one shingle that the other lacks, which bounds their intersection.
 
 A group of thousands of near copies thus costs one pair for each member, not one for each two, and no list is cut short.
 
@@ -44,9 +45,11 @@ PERCENT = 75
 #: and how many are shared at most.
 COUNTED, OFTEN, FREQUENT, SHARED = 3_000_000, 3, 30, 1_000_000
 #: Rounds in which classes are tried against a few others of their lists before all pairs between components are, and how many.
-ROUNDS, HUBS = 2, 6
+ROUNDS, HUBS = 1, 3
 #: Longs of a set's bitmap.
 BITMAP = 16
+#: Shingles before a list's that are looked at for an earlier one that two sets share.
+EARLIER = 4
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
 FETCH_BROADCAST = 1_000_000
 
@@ -206,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     star = possible(shared.where("cid <> hub").groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")))
     star = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")  # the hub that agrees most
     pairs = store.put(star.unionByName(inside), "pairs1")
-    links = store.put(_checked_pairs(rows, classes, pairs, store, "star", words, percent), "links1")
+    links = _checked_pairs(rows, classes, pairs, store, "links1", words, percent)
     roots = components(links, store, "cc1")
     store.drop("pairs1")
 
@@ -216,12 +219,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # a token matters if its groups' members lie in two components, or one group's do
     mixed = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     lists = store.put(shared.select("token", F.col("cid").alias("gid")).join(mixed, "gid").unionByName(_alone(postings, mixed)), "lists")
+    store.drop("shared", "hubs")
     open_ = store.put(lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token"), "open")
     left = store.put(lists.select("token", "gid").join(open_, "token").join(placed, "gid").select("token", "cid", "n", "root"), "left")
+    store.drop("lists", "open")
     tops, proven = None, links
     for turn in range(ROUNDS):
         pairs = store.put(_hub_pairs(left, turn, possible), f"hubs{turn}")
-        more = store.put(_checked_pairs(rows, classes, pairs, store, f"r{turn}", words, percent), f"more{turn}")
+        more = _checked_pairs(rows, classes, pairs, store, f"more{turn}", words, percent)
         proven = proven.unionByName(more)
         merged = components(_between(more, left), store, f"cc-r{turn}").selectExpr("node", "root higher")
         tops = merged if tops is None else _composed(tops, merged)
@@ -230,12 +235,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         left = store.put(left, f"left{turn}")
         still = store.put(left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), f"still{turn}")
         left = store.put(left.join(still, "token"), f"open{turn}")
-    marked = store.put(left.join(classes.select("cid", "bits"), "cid"), "marked")
-    other = marked.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("bits").alias("bits_b"))
-    met = marked.withColumnRenamed("cid", "a").join(other, "token").where(f"root < root_b and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    met = met.where(F.least(F.expr(f"n - {_lacking_sql('bits', 'bits_b')}"), F.expr(f"m - {_lacking_sql('bits_b', 'bits')}")) >= enough)
-    rest = store.put(possible(met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))).select("a", "b"), "pairs2")
-    last = store.put(_checked_pairs(rows, classes, rest, store, "rest", words, percent), "links2")
+    before = [f"prefix[greatest(at - {k}, 0)] as p{k}" for k in range(1, EARLIER + 1)]
+    marked = left.join(classes.select("cid", "bits", "prefix"), "cid").withColumn("at", F.expr("cast(array_position(prefix, token) as int) - 1"))
+    marked = store.put(marked.selectExpr("token", "cid", "n", "root", "at", *before, "bits"), "marked")
+    rest = store.put(_open_pairs(marked, percent, enough), "pairs2")
+    store.drop("marked")
+    last = _checked_pairs(rows, classes, rest, store, "links2", words, percent)
     more = proven.unionByName(last)
     merged = components(_between(last, left), store, "cc2").selectExpr("node", "root higher")
     tops = store.put(_composed(tops, merged), "all-tops")
@@ -245,16 +250,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     smallest = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "tops")
     ids = store.put(smallest.groupBy("top").agg(F.min("least").alias("component_id")), "ids")
     named = store.put(smallest.join(ids, "top").join(degree, "cid", "left").select("n", "digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    store.drop("lists", "left", "marked", "shared", *(f"{x}{k}" for k in range(ROUNDS) for x in ("left", "open", "still", "hubs")))
+    store.drop(*(f"{x}{k}" for k in range(ROUNDS) for x in ("left", "open", "still", "hubs")))
     linked = whole.where("n > 0").join(named, ["n", "digest"]).select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     empty = whole.where("n = 0").select("doc_id", "same", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(empty)
 
 
 def _checked_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, store: Scratch, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs a, b whose whole sets link."""
+    """The table of the pairs a, b whose whole sets link; the sets are kept only until it is written."""
     wanted = store.put(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), f"wanted-{name}")
-    return _verified(pairs, store.put(_fetched(rows, classes, wanted, words), f"sets-{name}"), percent)
+    found = store.put(_verified(pairs, store.put(_fetched(rows, classes, wanted, words), f"sets-{name}"), percent), name)
+    store.drop(f"wanted-{name}", f"sets-{name}")
+    return found
 
 
 def _hub_pairs(left: DataFrame, turn: int, possible) -> DataFrame:
@@ -271,6 +278,17 @@ def _hub_pairs(left: DataFrame, turn: int, possible) -> DataFrame:
     return pairs.distinct()
 
 
+def _open_pairs(marked: DataFrame, percent: int, enough) -> DataFrame:
+    """The pairs a, b of classes in different components that the filters leave, each from few of the lists that both are in."""
+    other = marked.select("token", *[F.col(c).alias({"cid": "b", "n": "m"}.get(c, f"{c}_b")) for c in marked.columns if c != "token"])
+    earlier = " or ".join(f"p{i} = p{j}_b" for i in range(1, EARLIER + 1) for j in range(1, EARLIER + 1))
+    met = marked.withColumnRenamed("cid", "a").join(other, "token")
+    met = met.where(f"root < root_b and 100 * least(n, m) >= {percent} * greatest(n, m)").where(F.expr("least(n - at, m - at_b)") >= enough)
+    met = met.where(f"at = 0 or at_b = 0 or not ({earlier})")
+    met = met.where(F.least(F.expr(f"n - {_lacking_sql('bits', 'bits_b')}"), F.expr(f"m - {_lacking_sql('bits_b', 'bits')}")) >= enough)
+    return met.select("a", "b").distinct()
+
+
 def _between(links: DataFrame, left: DataFrame) -> DataFrame:
     """Links between classes as links between their components."""
     root = left.select("cid", "root").distinct()
