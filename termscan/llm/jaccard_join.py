@@ -17,7 +17,8 @@ with nothing. Two documents link when 100 * intersection >= percent * union.
 The filters lose no link. Position: if a list's shingle is the first that two sets share, no shingle before it in either is
 shared, so what follows must suffice. Earlier: a pair is left out of a list if one of the last few shingles before the list's
 is shared too, since then the list of an earlier one gives it. Bitmap: a set's shingles mark bits of a bitmap, and each bit
-that only one of two sets has stands for at least one shingle that the other lacks, which bounds their intersection.
+that only one of two sets has stands for at least one shingle that the other lacks, which bounds their intersection. Before
+whole sets are brought together, the same is done with bitmaps that grow with the sets.
 
 A group of thousands of near copies thus costs one pair for each member, not one for each two, and no list is cut short.
 
@@ -168,6 +169,43 @@ def _fetched(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int)
     return found.select("cid", "text").mapInArrow(run, "cid long, codes binary").dropDuplicates(["cid"])
 
 
+def wide_bitmap(codes: np.ndarray) -> bytes:
+    """A bitmap of four bits or more for each hash, a power of two of them in all, by the hash's low bits."""
+    size = 1 << max(10, (4 * len(codes) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[codes & np.uint64(size - 1)] = True
+    return np.packbits(marks).tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two sets of n and m shingles can link by their wide bitmaps; the longer one is folded to the other's length."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in (p, q))
+    common = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+    return 100 * common >= percent * (n + m - common)
+
+
+def _narrowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that wide bitmaps leave, which are a fraction of the whole sets' size."""
+    wide = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("marks", pa.binary())])
+    left = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "codes"):
+            sets = [np.frombuffer(c, np.uint64) for c in batch.column("codes").to_pylist()]
+            yield out({"cid": batch.column("cid"), "n": [len(c) for c in sets], "marks": [wide_bitmap(c) for c in sets]}, wide)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "x"):
+            keep = [may_link(x, y, n, m, percent) for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)]
+            yield out({"a": batch.column("a"), "b": batch.column("b")}, left).filter(pa.array(keep, pa.bool_()))
+
+    marks = sets.mapInArrow(marked, "cid long, n long, marks binary")
+    both = pairs.join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose whole sets link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -259,8 +297,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def _checked_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, store: Scratch, name: str, words: int, percent: int) -> DataFrame:
     """The table of the pairs a, b whose whole sets link; the sets are kept only until it is written."""
     wanted = store.put(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), f"wanted-{name}")
-    found = store.put(_verified(pairs, store.put(_fetched(rows, classes, wanted, words), f"sets-{name}"), percent), name)
-    store.drop(f"wanted-{name}", f"sets-{name}")
+    sets = store.put(_fetched(rows, classes, wanted, words), f"sets-{name}")
+    near = store.put(_narrowed(pairs, sets, percent), f"near-{name}")
+    found = store.put(_verified(near, sets, percent), name)
+    store.drop(f"wanted-{name}", f"sets-{name}", f"near-{name}")
     return found
 
 

@@ -197,6 +197,19 @@ def brute_components(rows):
     return collections.Counter((rows[k][0], len(sets[k]), least[root[k]] if sets[k] else rows[k][0]) for k in range(len(rows)))
 
 
+def test_wide_bitmaps_reject_no_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60, 257, 3000):
+        for lost in range(0, 60, 6):
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            b = np.unique(np.concatenate([a[len(a) * lost // 100 :], rng.integers(0, 2**64, n * lost // 200, np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 75 * (len(a) + len(b) - common):
+                assert jaccard_join.may_link(jaccard_join.wide_bitmap(a), jaccard_join.wide_bitmap(b), len(a), len(b), 75)
+    far = np.arange(4000, dtype=np.uint64)
+    assert not jaccard_join.may_link(jaccard_join.wide_bitmap(far[:2000]), jaccard_join.wide_bitmap(far[1000:]), 2000, 3000, 75)
+
+
 def test_jaccard_join(spark, rows, monkeypatch):
     rng = random.Random(8)
     base = prose(rng, 60).split()
