@@ -254,6 +254,22 @@ def test_line_dedup(spark, rows):
     assert kept.columns == docs.columns and kept.where("text is null").count() == sum(t is None for _, t in data)
 
 
+def test_line_dedup_aligns_all_earlier_documents(spark):
+    rng = random.Random(12)
+    pool = [prose(rng, n) for n in (2, 2, 3, 3, 4, 5, 20, 20, 25, 30)] + ["", "a"]
+    data = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 7)))) for i in range(150)]
+    data += [(300, "\n".join(pool[k] for k in (0, 1, 6, 7))), (301, "\n".join([pool[0], "own", pool[1]])), (None, data[7][1]), (400, data[7][1] + " "), (401, None)]
+    codes = {i: [x.tolist() for x in line_dedup.line_codes((t or "").encode())] for i, t in data}
+    order, expected = sorted(codes, key=lambda i: (i is not None, i or 0)), {}
+    for k, i in enumerate(order):
+        gone, (b, sizes) = set(), codes[i]
+        for j in order[:k]:
+            gone |= {x for _, q, n in line_dedup.patience(codes[j][0], b) if sum(sizes[q : q + n]) >= 40 for x in range(q, q + n)}
+        expected[i] = "\n".join(x for n, x in enumerate((dict(data)[i] or "").split("\n")) if n not in gone), len(gone)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_report(table(spark, data)).collect()}
+    assert got == expected
+
+
 def test_patience_brute():
     rng = random.Random(1)
     for _ in range(300):
