@@ -12,7 +12,10 @@ with nothing. Two documents link when 100 * intersection >= percent * union.
    verified on whole sets, and the links make components.
 4. Each class of a list that holds more than one component is tried against a few others of its lists, and the components
    grow. Posting lists that still hold more than one component then give all pairs between different components that three
-   exact filters leave, and those are verified. Pairs inside a component cannot change it, so none is made.
+   exact filters leave, and those are verified. Pairs inside a component cannot change it, so none is made here.
+5. If links are counted, the lists are joined once more, now for all pairs of classes inside the same component that the
+   filters leave (a link lies in one component). Blocks of `BLOCK` classes are brought together, each class once for each
+   other block that it has pairs in, and every pair is verified on whole sets.
 
 The filters lose no link. Position: if a list's shingle is the first that two sets share, no shingle before it in either is
 shared, so what follows must suffice. Earlier: a pair is left out of a list if one of the last few shingles before the list's
@@ -20,7 +23,8 @@ is shared too, since then the list of an earlier one gives it. Bitmap: a set's s
 that only one of two sets has stands for at least one shingle that the other lacks, which bounds their intersection. Before
 whole sets are brought together, the same is done with bitmaps that grow with the sets.
 
-A group of thousands of near copies thus costs one pair for each member, not one for each two, and no list is cut short.
+For the components a group of thousands of near copies thus costs one pair for each member, not one for each two, and no list
+is cut short. Its links are as many as its pairs, so counting them costs one verification for each two members.
 
 Null texts count as empty. Rows with the same doc_id are rows of their own; a null doc_id is never a component's id unless
 all its rows have none. Extra columns are ignored; an empty table gives an empty result.
@@ -29,6 +33,7 @@ all its rows have none. Extra columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +58,8 @@ BITMAP = 16
 EARLIER = 4
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
 FETCH_BROADCAST = 1_000_000
+#: Classes of a component, by order, that meet another such block in one task when links are counted.
+BLOCK = 128
 
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -225,8 +232,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return first.join(sets.select(F.col("cid").alias("b"), F.col("codes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (of its class, to other classes that were compared) of every row."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (how many other classes its class links with) of every row.
+
+    Without `count` n_links is null.
+    """
     store = Scratch(docs.sparkSession, "jaccard-join")
     rows = keyed(docs).withColumn("same", F.xxhash64("text"))
     sketch = store.put(_sketches(rows, words, percent), "sketches")
@@ -261,11 +271,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     open_ = store.put(lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token"), "open")
     left = store.put(lists.select("token", "gid").join(open_, "token").join(placed, "gid").select("token", "cid", "n", "root"), "left")
     store.drop("lists", "open")
-    tops, proven = None, links
+    tops = None
     for turn in range(ROUNDS):
         pairs = store.put(_hub_pairs(left, turn, possible), f"hubs{turn}")
         more = _checked_pairs(rows, classes, pairs, store, f"more{turn}", words, percent)
-        proven = proven.unionByName(more)
         merged = components(_between(more, left), store, f"cc-r{turn}").selectExpr("node", "root higher")
         tops = merged if tops is None else _composed(tops, merged)
         tops = store.put(tops, f"tops{turn}")
@@ -273,24 +282,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         left = store.put(left, f"left{turn}")
         still = store.put(left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), f"still{turn}")
         left = store.put(left.join(still, "token"), f"open{turn}")
-    before = [f"prefix[greatest(at - {k}, 0)] as p{k}" for k in range(1, EARLIER + 1)]
     marked = left.join(classes.select("cid", "bits", "prefix"), "cid").withColumn("at", F.expr("cast(array_position(prefix, token) as int) - 1"))
-    marked = store.put(marked.selectExpr("token", "cid", "n", "root", "at", *before, "bits"), "marked")
-    rest = store.put(_open_pairs(marked, percent, enough), "pairs2")
+    marked = store.put(marked.selectExpr("token", "cid", "n", "root", "at", *_BEFORE, "bits"), "marked")
+    rest = store.put(_open_pairs(marked, percent, enough, "root < root_b"), "pairs2")
     store.drop("marked")
     last = _checked_pairs(rows, classes, rest, store, "links2", words, percent)
-    more = proven.unionByName(last)
     merged = components(_between(last, left), store, "cc2").selectExpr("node", "root higher")
     tops = store.put(_composed(tops, merged), "all-tops")
     final = placed.join(tops, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("higher", "root").alias("top"))
     final = store.put(final, "final")
-    degree = more.distinct().selectExpr("explode(array(a, b)) cid").groupBy("cid").agg(F.count("*").alias("n_links"))
     smallest = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "tops")
     ids = store.put(smallest.groupBy("top").agg(F.min("least").alias("component_id")), "ids")
-    named = store.put(smallest.join(ids, "top").join(degree, "cid", "left").select("n", "digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    smallest = smallest.join(ids, "top")
+    if count:
+        degree = _degrees(rows, classes, final, store, words, percent, enough)
+        smallest = smallest.join(degree, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    else:
+        smallest = smallest.withColumn("n_links", F.lit(None).cast("long"))
+    named = store.put(smallest.select("n", "digest", "component_id", "n_links"), "named")
     store.drop(*(f"{x}{k}" for k in range(ROUNDS) for x in ("left", "open", "still", "hubs")))
     linked = whole.where("n > 0").join(named, ["n", "digest"]).select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
-    empty = whole.where("n = 0").select("doc_id", "same", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    empty = whole.where("n = 0").select("doc_id", "same", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0 if count else None).cast("long").alias("n_links"))
     return linked.unionByName(empty)
 
 
@@ -318,15 +330,54 @@ def _hub_pairs(left: DataFrame, turn: int, possible) -> DataFrame:
     return pairs.distinct()
 
 
-def _open_pairs(marked: DataFrame, percent: int, enough) -> DataFrame:
-    """The pairs a, b of classes in different components that the filters leave, each from few of the lists that both are in."""
+def _degrees(rows: DataFrame, classes: DataFrame, final: DataFrame, store: Scratch, words: int, percent: int, enough) -> DataFrame:
+    """cid and n_links, the number of other classes that it links with, of the classes that link."""
+    several = final.groupBy("top").agg(F.count("*").alias("size")).where("size > 1").select("top")
+    linked = final.join(several, "top").repartitionByRange("top", "cid").sortWithinPartitions("top", "cid")
+    seats = store.put(linked.select("cid", F.monotonically_increasing_id().alias("root"), "top"), "seats")
+    marked = classes.select("cid", "n", "bits", "prefix").join(seats, "cid").select("*", F.posexplode("prefix").alias("at", "token"))
+    marked = store.put(marked.selectExpr("token", "cid", "n", "root", "top", "at", *_BEFORE, "bits"), "marked-all")
+    blocks = (F.expr(f"cast(floor(root / {BLOCK}) as long) as x"), F.expr(f"cast(floor(root_b / {BLOCK}) as long) as y"))
+    pairs = store.put(_open_pairs(marked, percent, enough, "top = top_b and root < root_b", *blocks), "pairs-all")
+    store.drop("marked-all")
+    needs = store.put(pairs.selectExpr("x", "y", "a as cid").unionByName(pairs.selectExpr("x", "y", "b as cid")).distinct(), "needs")
+    sets = store.put(_fetched(rows, classes, needs.select("cid").distinct(), words), "sets-all")
+    both = needs.join(sets, "cid").groupBy("x", "y").cogroup(pairs.groupBy("x", "y"))
+    found = store.put(both.applyInArrow(_links_of(percent), "cid long, n_links long"), "degrees")
+    store.drop("pairs-all", "needs", "sets-all", "seats")
+    return found.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
+
+
+def _links_of(percent: int):
+    """The links of each class among the pairs of two blocks; the blocks' sets come once."""
+
+    def run(held: pa.Table, pairs: pa.Table) -> pa.Table:
+        sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(held.column("cid").to_pylist(), held.column("codes").to_pylist(), strict=True)}
+        found: Counter = Counter()
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            p, q = sets[a], sets[b]
+            both = np.concatenate([p, q])
+            both.sort(kind="stable")
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * common >= percent * (len(p) + len(q) - common):
+                found.update((a, b))
+        return pa.table({"cid": pa.array(found.keys(), pa.int64()), "n_links": pa.array(found.values(), pa.int64())})
+
+    return run
+
+
+_BEFORE = [f"prefix[greatest(at - {k}, 0)] as p{k}" for k in range(1, EARLIER + 1)]
+
+
+def _open_pairs(marked: DataFrame, percent: int, enough, which: str, *more) -> DataFrame:
+    """The pairs a, b of classes for which `which` holds that the filters leave, each from few of the lists that both are in."""
     other = marked.select("token", *[F.col(c).alias({"cid": "b", "n": "m"}.get(c, f"{c}_b")) for c in marked.columns if c != "token"])
     earlier = " or ".join(f"p{i} = p{j}_b" for i in range(1, EARLIER + 1) for j in range(1, EARLIER + 1))
     met = marked.withColumnRenamed("cid", "a").join(other, "token")
-    met = met.where(f"root < root_b and 100 * least(n, m) >= {percent} * greatest(n, m)").where(F.expr("least(n - at, m - at_b)") >= enough)
+    met = met.where(f"{which} and 100 * least(n, m) >= {percent} * greatest(n, m)").where(F.expr("least(n - at, m - at_b)") >= enough)
     met = met.where(f"at = 0 or at_b = 0 or not ({earlier})")
     met = met.where(F.least(F.expr(f"n - {_lacking_sql('bits', 'bits_b')}"), F.expr(f"m - {_lacking_sql('bits_b', 'bits')}")) >= enough)
-    return met.select("a", "b").distinct()
+    return met.select("a", "b", *more).distinct()
 
 
 def _between(links: DataFrame, left: DataFrame) -> DataFrame:
@@ -358,7 +409,7 @@ def _prefix_sql(n: str, percent: int) -> str:
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns as they are, with one document of each component: the one with the smallest doc_id. Empty ones stay."""
-    found = near_duplicates(docs, words, percent)
+    found = near_duplicates(docs, words, percent, count=False)
     drop = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_near_doc"), F.col("same").alias("_near_same")).distinct()
     same = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["_near_doc"]) & (same == drop["_near_same"]), "left_anti")

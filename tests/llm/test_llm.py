@@ -227,6 +227,27 @@ def test_jaccard_join(spark, rows, monkeypatch):
     assert jaccard_join.representatives(docs).columns == docs.columns
 
 
+def test_jaccard_join_counts_all_links(spark, monkeypatch):
+    rng = random.Random(15)
+    base, data = [prose(rng, 70).split(), prose(rng, 50).split()], [(0, None), (1, "alone")]
+    for i in range(70):
+        words = list(base[i % 2])
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        data.append((10 + i, " ".join(words)))
+    data += [(100, data[5][1].upper().lower()), (101, data[6][1])]
+    sets = {}
+    for i, t in data:
+        w = re.findall("[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    classes = set(sets.values()) - {frozenset()}
+    expected = {i: sum(100 * len(x & y) >= 75 * len(x | y) for y in classes if y != x) if x else 0 for i, x in sets.items()}
+    assert max(expected.values()) > 10
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    assert {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(table(spark, data)).collect()} == expected
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2040)]
