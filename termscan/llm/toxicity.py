@@ -160,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
         plain = Lexicon(chosen)
         shared = spark.sparkContext.broadcast(plain)
         phrases = rows.select("text", F.col("toxic") > 0).toDF("text", "toxic").mapInArrow(_phrases(shared), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum("clean").alias("c"))
-        exceptions = {r["term"] for r in phrases.where("c >= 2 and c > x").limit(TERMS).collect()}
+        exceptions = {r["term"] for r in phrases.where("c >= 2 and c > x").collect()}  # all; the sample bounds them
         exact = Lexicon(chosen, exceptions)
         shared = spark.sparkContext.broadcast(exact)
         scored = rows.select("text", F.col("toxic") > 0).toDF("text", "toxic").mapInArrow(_scored(shared), "raw double, toxic boolean").collect()  # `sample` rows at most

@@ -158,6 +158,14 @@ def test_exception_phrases():
     assert lexicon.score("put it in the trash can") == 0 and lexicon.score("you tr4sh") > 0
 
 
+def test_all_exception_phrases_are_kept(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30) + (" idiot " if i % 5 == 0 else " my idiot board " if i < 16 else " ") + prose(rng, 30)) for i in range(400)]
+    monkeypatch.setattr(toxicity, "TERMS", 1)
+    lexicon = toxicity.learn(table(spark, rows), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int"))
+    assert len(lexicon.weights) == 1 and len(lexicon.exceptions) >= 2
+
+
 @pytest.mark.parametrize("block", [20, 500_000])
 def test_decontamination(spark, block):
     rng = random.Random(6)
