@@ -7,32 +7,36 @@ with nothing. Two documents link when 100 * intersection >= percent * union.
 1. Documents with equal sets are one class; only classes are compared.
 2. Shingles are put in one order: by hash, those frequent in the corpus last. Linked sets share a shingle among the first
    n - ceil(t n) + 1 of each (its prefix). Any order gives the same links; the frequent ones go last to save work only.
-3. Classes of equal size and prefix are one group. A star ties each group to the first group of each posting list, if so
-   many of its prefix shingles agree that a link is possible, and each group's members to their first; the pairs are
-   verified on whole sets, and the links make components.
-4. Each class of a list that holds more than one component is tried against a few others of its lists, and the components
-   grow. Posting lists that still hold more than one component then give all pairs between different components that three
-   exact filters leave, and those are verified. Pairs inside a component cannot change it, so none is made here.
-5. If links are counted, the lists are joined once more, now for all pairs of classes inside the same component that the
+3. Classes of equal size and prefix are one group, represented by its first class. Only prefix shingles that several groups
+   hold matter; they make the posting lists.
+4. Stars: in each list the group with the largest share of shared shingles in its prefix is the hub, since the text that
+   copies were made from has none of its own. A group is tried against the hub that agrees with it most, if so many prefix
+   shingles agree that a link is possible, and each group's members against its first; the links make components.
+5. Lists that still hold more than one component give the pairs of groups with members in different components that three
+   exact filters leave. Group pairs are expanded to the classes in different components, which are verified on whole sets.
+   Pairs inside a component cannot change it, so none is made here.
+6. If links are counted, the lists are joined once more, now for all pairs of classes inside the same component that the
    filters leave (a link lies in one component). Blocks of `BLOCK` classes are brought together, each class once for each
    other block that it has pairs in, and every pair is verified on whole sets.
 
 The filters lose no link. Position: if a list's shingle is the first that two sets share, no shingle before it in either is
-shared, so what follows must suffice. Earlier: a pair is left out of a list if one of the last few shingles before the list's
-is shared too, since then the list of an earlier one gives it. Bitmap: a set's shingles mark bits of a bitmap, and each bit
-that only one of two sets has stands for at least one shingle that the other lacks, which bounds their intersection. Before
-whole sets are brought together, the same is done with bitmaps that grow with the sets.
+shared, so what follows must suffice. Earlier: a pair is left out of a list if one of the last few listed shingles before the
+list's is shared too, since then the list of an earlier one gives it. Bitmap: a set's shingles mark bits of a bitmap, and each
+bit that only one of two sets has stands for at least one shingle that the other lacks, which bounds their intersection.
+Before whole sets are brought together, the same is done with bitmaps that grow with the sets.
 
 For the components a group of thousands of near copies thus costs one pair for each member, not one for each two, and no list
 is cut short. Its links are as many as its pairs, so counting them costs one verification for each two members.
 
-Null texts count as empty. Rows with the same doc_id are rows of their own; a null doc_id is never a component's id unless
-all its rows have none. Extra columns are ignored; an empty table gives an empty result.
+Null texts count as empty. Very long texts are shingled whole, in pieces. Rows with the same doc_id are rows of their own; a
+null doc_id is never a component's id unless all its rows have none. Extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,48 +54,96 @@ PERCENT = 75
 #: Shingles that a task counts at a time, how often one must come up there to be counted, how often in all to be frequent,
 #: and how many are shared at most.
 COUNTED, OFTEN, FREQUENT, SHARED = 3_000_000, 3, 30, 1_000_000
-#: Rounds in which classes are tried against a few others of their lists before all pairs between components are, and how many.
-ROUNDS, HUBS = 1, 3
 #: Longs of a set's bitmap.
 BITMAP = 16
-#: Shingles before a list's that are looked at for an earlier one that two sets share.
+#: Listed shingles before a list's that are looked at for an earlier one that two sets share.
 EARLIER = 4
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
-FETCH_BROADCAST = 1_000_000
+FETCH_BROADCAST = 250_000
 #: Classes of a component, by order, that meet another such block in one task when links are counted.
 BLOCK = 128
 
+#: Bytes in which words are hashed at a time; longer words than `LONG` are hashed one by one.
+PIECE, LONG = 1 << 18, 1 << 12
+
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word)
-        return code
-
-
-_hashes = _Hashes()
-
-
-def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    tokens = text.lower().split()
-    n = len(tokens)
-    if not n:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, n)
-    size = min(n, words)
-    total = np.full(n - size + 1, size, np.uint64)
+_BASE = 0x9E3779B97F4A7C55
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_RUN = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _powers(base: int) -> np.ndarray:
+    found = np.full(PIECE + LONG + 2, base, np.uint64)
+    found[0] = 1
+    return np.cumprod(found, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def word_codes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash and the first byte of each word: a polynomial of its lowered bytes, from running sums over a piece."""
+    data = np.frombuffer(blob, np.uint8)
+    codes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(data), PIECE):  # the words that begin in this piece
+        part = data[at : at + PIECE + LONG + 1]
+        inner = ~_SPACE[part]
+        begins, stops = inner.copy(), inner.copy()
+        begins[1:] &= ~inner[:-1]
+        begins[0] &= not at or _SPACE[data[at - 1]]
+        stops[:-1] &= ~inner[1:]
+        stops[-1] &= at + len(part) == len(data)
+        starts, stops = np.flatnonzero(begins[:PIECE]), np.flatnonzero(stops) + 1
+        if not len(starts):
+            continue
+        k = np.searchsorted(stops, starts, "right")
+        ends = np.append(stops, PIECE * 2)[k]
+        long = ends - starts > LONG
+        ends[long] = starts[long]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LOWER[part] * _UP[: len(part)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * _DOWN[starts]
+        for i in np.flatnonzero(long).tolist():
+            found[i] = xxhash.xxh64_intdigest(_RUN.match(blob, at + int(starts[i]))[0].lower())
+        found ^= found >> np.uint64(32)
+        found *= _MIX
+        codes.append(found ^ (found >> np.uint64(29)))
+        places.append(starts + at)
+    return np.concatenate(codes), np.concatenate(places)
+
+
+def _summed(codes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` words."""
+    n = len(codes) - size + 1
+    total = np.full(n, size, np.uint64)
     for j in range(size):
-        total += codes[j : j + n - size + 1] * _MULTIPLIERS[j]
+        total += codes[j : j + n] * _MULTIPLIERS[j]
     total ^= total >> np.uint64(31)
     total *= _MIX
     total ^= total >> np.uint64(29)
-    total.sort()
-    return total[np.concatenate([[True], total[1:] != total[:-1]])]
+    return total
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles."""
+    codes, places = word_codes(b"\n".join(texts))
+    cuts = np.searchsorted(places, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    whole = _summed(codes, words) if len(codes) >= words else None
+    sets = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        total = np.sort(whole[a : b - words + 1]) if b - a >= words else _summed(codes[a:b], b - a) if b > a else codes[:0]
+        fresh = np.ones(len(total), bool)
+        np.not_equal(total[1:], total[:-1], out=fresh[1:])
+        sets.append(total[fresh])
+    return sets
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches of few bytes with their texts' sets."""
+    for batch in sliced(batches, limit=PIECE):
+        yield batch, shingle_sets(raw(batch), words)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -105,6 +157,23 @@ def bitmap(codes: np.ndarray) -> np.ndarray:
     return np.packbits(marks).view(np.int64)
 
 
+def wide_bitmap(codes: np.ndarray) -> bytes:
+    """A bitmap of four bits or more for each hash, a power of two of them in all, by the hash's low bits."""
+    size = 1 << max(10, (4 * len(codes) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[codes & np.uint64(size - 1)] = True
+    return np.packbits(marks).tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two sets of n and m shingles can link by their wide bitmaps; the longer one is folded to the other's length."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0) if len(b) > size else b for b in (p, q))
+    common = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+    return 100 * common >= percent * (n + m - common)
+
+
 def _frequent(rows: DataFrame, words: int) -> np.ndarray:
     """Shingles that come up often within some task's stretch of documents, the most frequent first to be shared."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
@@ -117,48 +186,44 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in sliced(batches):
-            for text in raw(batch):
-                parts.append(shingle_set(text, words))
-                held += len(parts[-1])
+        for _, sets in _shingled(batches, words):
+            parts += [s for s in sets if len(s)]
+            held += sum(map(len, sets))
             if held > COUNTED:
                 yield counted(parts)
                 parts, held = [], 0
-        if parts and held:
+        if parts:
             yield counted(parts)
 
     top = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(SHARED).select("h")
     return np.sort(np.array([r[0] for r in top.toLocalIterator()], np.int64).view(np.uint64))
 
 
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("alike", pa.binary()), ("bits", pa.list_(pa.int64())), ("wide", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SKETCH_SQL = "doc_id long, same long, n int, digest binary, alike binary, bits array<long>, wide binary, prefix array<long>"
+
+
 def _sketches(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, same, n, digest (of the set), alike (of size and prefix), bits (its bitmap) and prefix of every row."""
+    """doc_id, same, n, digest (of the set), alike (of size and prefix), bits and wide (its bitmaps) and prefix of every row."""
     often = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("alike", pa.binary()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+
+    def first(codes: np.ndarray, common: np.ndarray) -> np.ndarray:
+        if len(common):
+            late = common[np.minimum(np.searchsorted(common, codes), len(common) - 1)] == codes
+            codes = np.concatenate([codes[~late], codes[late]])
+        return codes[: prefix_size(len(codes), percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = often.value
-        for batch in sliced(batches):
-            ns, digests, alikes, bits, prefixes = [], [], [], [], []
-            for text in raw(batch):
-                codes = shingle_set(text, words)
-                k = prefix_size(len(codes), percent)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
-                    late = common[at] == codes
-                    prefix = np.concatenate([codes[~late], codes[late]])[:k]
-                else:
-                    prefix = codes[:k]
-                ns.append(len(codes))
-                digests.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
-                alikes.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
-                bits.append(bitmap(codes))
-                prefixes.append(prefix.view(np.int64))
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefixes)))
-            yield out({"doc_id": batch.column("doc_id"), "same": batch.column("same"), "n": ns, "digest": digests, "alike": alikes, "bits": bits, "prefix": lists}, schema)
-
-    return rows.mapInArrow(run, "doc_id long, same long, n int, digest binary, alike binary, bits array<long>, prefix array<long>")
+        for batch, sets in _shingled(batches, words):
+            prefixes = [first(codes, common) for codes in sets]
+            cuts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefixes).view(np.int64)))
+            named = [[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in y] for y in (sets, prefixes)]
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(0, BITMAP * len(sets) + 1, BITMAP, np.int32)), pa.array(np.concatenate([bitmap(x) for x in sets])))
+            yield out({"d": batch.column("doc_id"), "s": batch.column("same"), "n": [len(x) for x in sets], "i": named[0], "a": named[1], "b": maps, "w": [wide_bitmap(x) for x in sets], "p": lists}, _SKETCH)
+
+    return rows.mapInArrow(run, _SKETCH_SQL)
 
 
 def _fetched(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -166,8 +231,8 @@ def _fetched(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int)
     schema = pa.schema([("cid", pa.int64()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            yield out({"cid": batch.column("cid"), "codes": [shingle_set(t, words).tobytes() for t in raw(batch)]}, schema)
+        for batch, sets in _shingled(batches, words):
+            yield out({"cid": batch.column("cid"), "codes": [x.tobytes() for x in sets]}, schema)
 
     keys = classes.join(wanted, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.same").alias("rep_same"))
     if wanted.count() <= FETCH_BROADCAST:
@@ -176,169 +241,152 @@ def _fetched(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int)
     return found.select("cid", "text").mapInArrow(run, "cid long, codes binary").dropDuplicates(["cid"])
 
 
-def wide_bitmap(codes: np.ndarray) -> bytes:
-    """A bitmap of four bits or more for each hash, a power of two of them in all, by the hash's low bits."""
-    size = 1 << max(10, (4 * len(codes) - 1).bit_length())
-    marks = np.zeros(size, bool)
-    marks[codes & np.uint64(size - 1)] = True
-    return np.packbits(marks).tobytes()
-
-
-def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
-    """Whether two sets of n and m shingles can link by their wide bitmaps; the longer one is folded to the other's length."""
-    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    size = min(len(p), len(q))
-    p, q = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in (p, q))
-    common = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
-    return 100 * common >= percent * (n + m - common)
-
-
-def _narrowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b that wide bitmaps leave, which are a fraction of the whole sets' size."""
-    wide = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("marks", pa.binary())])
     left = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "codes"):
-            sets = [np.frombuffer(c, np.uint64) for c in batch.column("codes").to_pylist()]
-            yield out({"cid": batch.column("cid"), "n": [len(c) for c in sets], "marks": [wide_bitmap(c) for c in sets]}, wide)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "x"):
             keep = [may_link(x, y, n, m, percent) for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)]
             yield out({"a": batch.column("a"), "b": batch.column("b")}, left).filter(pa.array(keep, pa.bool_()))
 
-    marks = sets.mapInArrow(marked, "cid long, n long, marks binary")
+    marks = classes.select("cid", "n", "wide")
     both = pairs.join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b")
     return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose whole sets link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def links(x: bytes, y: bytes) -> bool:
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = _common(p, q)
+        return 100 * common >= percent * (len(p) + len(q) - common)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "x"):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            keep = [links(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield out({"a": batch.column("a"), "b": batch.column("b")}, schema).filter(pa.array(keep, pa.bool_()))
 
     first = pairs.join(sets.select(F.col("cid").alias("a"), F.col("codes").alias("x")), "a")
     return first.join(sets.select(F.col("cid").alias("b"), F.col("codes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, store: Scratch, name: str, words: int, percent: int) -> DataFrame:
+    """The table of the pairs a, b whose whole sets link; the sets are kept only until it is written."""
+    near = store.put(_narrowed(pairs, classes, percent), f"near-{name}")
+    wanted = store.put(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct(), f"wanted-{name}")
+    sets = store.put(_fetched(rows, classes, wanted, words), f"sets-{name}")
+    found = store.put(_verified(near, sets, percent), name)
+    store.drop(f"wanted-{name}", f"sets-{name}", f"near-{name}")
+    return found
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a sorted part whose token comes up again; those of its first and last token always, for the parts beside."""
+    held, first, again = None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        tokens = batch.column("token").to_numpy()
+        first = tokens[0] if first is None else first
+        same = tokens[1:] == tokens[:-1]
+        keep = np.concatenate([[again or tokens[0] == first], same])
+        keep[:-1] |= same
+        yield batch.slice(0, len(tokens) - 1).filter(pa.array(keep[:-1]))
+        held, again = batch.slice(len(tokens) - 1), bool(keep[-1])
+    if held is not None:
+        yield held
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (how many other classes its class links with) of every row.
+    """doc_id, same (the text's hash), n_shingles, component_id and n_links (how many other classes its class links with) of every row.
 
     Without `count` n_links is null.
     """
+    return _members(docs, words, percent, count).drop("top")
+
+
+def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFrame:
+    """The rows of near_duplicates with top, a number of their component (null without shingles)."""
     store = Scratch(docs.sparkSession, "jaccard-join")
     rows = keyed(docs).withColumn("same", F.xxhash64("text"))
     sketch = store.put(_sketches(rows, words, percent), "sketches")
-    classes = sketch.where("n > 0").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "same")).alias("rep"), F.min("doc_id").alias("least"), F.first("alike").alias("alike"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")).withColumn("cid", F.monotonically_increasing_id())
-    classes = store.put(classes, "classes")
-    whole = store.put(sketch.drop("prefix", "bits", "alike"), "members")
+    classes = sketch.where("n > 0").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "same")).alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("alike", "bits", "wide", "prefix")])
+    classes = store.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    whole = store.put(sketch.select("doc_id", "same", "n", "digest"), "members")
     store.drop("sketches")
     enough = F.expr(f"cast(ceil({percent} * (n + m) / {100 + percent}) as long)")  # an intersection that a link needs at least
 
-    # 3. stars
-    groups = store.put(classes.groupBy("n", "alike").agg(F.min("cid").alias("gid"), F.count("*").alias("size")), "groups")
-    inside = classes.select("cid", "n", "alike").join(groups.where("size > 1"), ["n", "alike"]).where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    leaders = classes.join(groups.select(F.col("gid").alias("cid")), "cid", "left_semi")
-    postings = leaders.select("cid", "n", F.explode("prefix").alias("token"))
-    hubs = store.put(postings.groupBy("token").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("df")).where("df > 1"), "hubs")
-    shared = store.put(postings.join(hubs.select("token", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("m")), "token"), "shared")
-    possible = lambda df: df.where(F.greatest(F.expr(f"n - {_prefix_sql('n', percent)} + c"), F.expr(f"m - {_prefix_sql('m', percent)} + c")) >= enough).where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    star = possible(shared.where("cid <> hub").groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")))
-    star = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")  # the hub that agrees most
-    pairs = store.put(star.unionByName(inside), "pairs1")
-    links = _checked_pairs(rows, classes, pairs, store, "links1", words, percent)
-    roots = components(links, store, "cc1")
-    store.drop("pairs1")
-
-    # 4. what is left between components
-    placed = classes.select("cid", "n", "alike").join(groups.select("n", "alike", "gid"), ["n", "alike"]).join(roots, F.col("cid") == F.col("node"), "left").select("cid", "n", "gid", F.coalesce("root", "cid").alias("root"))
+    # 3. groups and posting lists
+    several = classes.groupBy("n", "alike").agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1")
+    followers = store.put(classes.select("cid", "n", "alike").join(several, ["n", "alike"]).where("cid <> gid").select("gid", "cid"), "followers")
+    leaders = classes.join(followers.select("cid"), "cid", "left_anti")
+    postings = leaders.select("cid", "n", F.posexplode("prefix").alias("at", "token")).select("token", F.col("cid").alias("gid"), "n", "at")
+    shared = postings.repartitionByRange("token", "gid").sortWithinPartitions("token", "gid").mapInArrow(_several, "token long, gid long, n int, at int")
+    listed = store.put(shared.groupBy("gid", "n").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("listed")), "listed")  # a prefix at most
+
+    # 4. stars
+    own = listed.select("gid", "n", F.expr(f"size(listed) / {_prefix_sql('n', percent)}").alias("share"), F.explode("listed.token").alias("token"))
+    hubs = own.groupBy("token").agg(F.max(F.struct("share", F.expr("-gid as earliest"), "n")).alias("hub")).select("token", F.expr("-hub.earliest as hub"), F.col("hub.n").alias("m"))
+    agreed = own.join(hubs, "token").where("gid <> hub").groupBy(F.col("hub").alias("a"), F.col("gid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    possible = F.greatest(F.expr(f"n - {_prefix_sql('n', percent)} + c"), F.expr(f"m - {_prefix_sql('m', percent)} + c")) >= enough
+    star = agreed.where(possible).where(f"100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+    pairs = store.put(star.unionByName(followers.toDF("a", "b")), "pairs1")
+    roots = components(_linked(rows, classes, pairs, store, "links1", words, percent), store, "cc1")
+
+    # 5. what is left between components
+    placed = classes.select("cid").join(followers, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("gid", "cid").alias("gid"), F.coalesce("root", "cid").alias("root"))
     placed = store.put(placed, "placed")
-    # a token matters if its groups' members lie in two components, or one group's do
-    mixed = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    lists = store.put(shared.select("token", F.col("cid").alias("gid")).join(mixed, "gid").unionByName(_alone(postings, mixed)), "lists")
-    store.drop("shared", "hubs")
-    open_ = store.put(lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token"), "open")
-    left = store.put(lists.select("token", "gid").join(open_, "token").join(placed, "gid").select("token", "cid", "n", "root"), "left")
-    store.drop("lists", "open")
-    tops = None
-    for turn in range(ROUNDS):
-        pairs = store.put(_hub_pairs(left, turn, possible), f"hubs{turn}")
-        more = _checked_pairs(rows, classes, pairs, store, f"more{turn}", words, percent)
-        merged = components(_between(more, left), store, f"cc-r{turn}").selectExpr("node", "root higher")
-        tops = merged if tops is None else _composed(tops, merged)
-        tops = store.put(tops, f"tops{turn}")
-        left = left.join(merged, F.col("root") == F.col("node"), "left").select("token", "cid", "n", F.coalesce("higher", "root").alias("root"))
-        left = store.put(left, f"left{turn}")
-        still = store.put(left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), f"still{turn}")
-        left = store.put(left.join(still, "token"), f"open{turn}")
-    marked = left.join(classes.select("cid", "bits", "prefix"), "cid").withColumn("at", F.expr("cast(array_position(prefix, token) as int) - 1"))
-    marked = store.put(marked.selectExpr("token", "cid", "n", "root", "at", *_BEFORE, "bits"), "marked")
-    rest = store.put(_open_pairs(marked, percent, enough, "root < root_b"), "pairs2")
-    store.drop("marked")
-    last = _checked_pairs(rows, classes, rest, store, "links2", words, percent)
-    merged = components(_between(last, left), store, "cc2").selectExpr("node", "root higher")
-    tops = store.put(_composed(tops, merged), "all-tops")
-    final = placed.join(tops, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("higher", "root").alias("top"))
-    final = store.put(final, "final")
-    smallest = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "tops")
-    ids = store.put(smallest.groupBy("top").agg(F.min("least").alias("component_id")), "ids")
-    smallest = smallest.join(ids, "top")
+    spread = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
+    listed = store.put(listed.join(spread, "gid"), "spread")
+    open_ = store.put(listed.select("lo", "hi", F.explode("listed.token").alias("token")).groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token"), "open")
+    marked = listed.select("*", F.posexplode("listed").alias("i", "x")).selectExpr("x.token", "gid as cid", "n", "lo", "hi", "size", "x.at", "i", *_before("listed", ".token"))
+    marked = marked.join(open_, "token", "left_semi").join(classes.select("cid", "bits"), "cid").withColumn("bits", F.expr("if(size = 1, bits, null)")).drop("size")
+    marked = store.put(marked, "marked")
+    apart = _open_pairs(marked, percent, enough, "a < b and not (lo = hi and lo_b = hi_b and lo = lo_b)")
+    parted = placed.join(spread.where("lo < hi").select("gid"), "gid", "left_semi").join(classes.select("cid", "n", "bits"), "cid")  # groups in several components
+    parted = parted.join(parted.toDF("b", "gid", "root_b", "m", "bits_b"), "gid").where("root < root_b").where(_bits_allow(enough)).select(F.col("cid").alias("a"), "b")
+    one, other = placed.toDF("x", "a", "root_a"), placed.toDF("y", "b", "root_b")
+    expanded = store.put(apart, "apart").join(one, "a").join(other, "b").where("root_a <> root_b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rest = store.put(expanded.unionByName(parted), "pairs2")
+    last = _linked(rows, classes, rest, store, "links2", words, percent)
+    between = last.join(placed.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(placed.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    tops = components(between, store, "cc2").selectExpr("node", "root as higher")
+    final = store.put(placed.join(tops, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("higher", "root").alias("top")), "final")
+    store.drop("followers", "listed", "spread", "open", "marked", "apart", "pairs1", "pairs2", "placed")
+
+    named = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "named")
+    named = named.join(named.groupBy("top").agg(F.min("least").alias("component_id")), "top")
     if count:
         degree = _degrees(rows, classes, final, store, words, percent, enough)
-        smallest = smallest.join(degree, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        named = named.join(degree, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     else:
-        smallest = smallest.withColumn("n_links", F.lit(None).cast("long"))
-    named = store.put(smallest.select("n", "digest", "component_id", "n_links"), "named")
-    store.drop(*(f"{x}{k}" for k in range(ROUNDS) for x in ("left", "open", "still", "hubs")))
-    linked = whole.where("n > 0").join(named, ["n", "digest"]).select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
-    empty = whole.where("n = 0").select("doc_id", "same", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0 if count else None).cast("long").alias("n_links"))
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = named.select("n", "digest", "component_id", "n_links", "top")
+    linked = whole.where("n > 0").join(named, ["n", "digest"]).select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "top")
+    empty = whole.where("n = 0").select("doc_id", "same", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0 if count else None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("top"))
     return linked.unionByName(empty)
 
 
-def _checked_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, store: Scratch, name: str, words: int, percent: int) -> DataFrame:
-    """The table of the pairs a, b whose whole sets link; the sets are kept only until it is written."""
-    wanted = store.put(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), f"wanted-{name}")
-    sets = store.put(_fetched(rows, classes, wanted, words), f"sets-{name}")
-    near = store.put(_narrowed(pairs, sets, percent), f"near-{name}")
-    found = store.put(_verified(near, sets, percent), name)
-    store.drop(f"wanted-{name}", f"sets-{name}", f"near-{name}")
-    return found
-
-
-def _hub_pairs(left: DataFrame, turn: int, possible) -> DataFrame:
-    """Each class with up to HUBS others of other components: of its lists, the first in orders drawn anew for each turn."""
-    one = F.struct("cid", "n", "root")
-    hubs = left.groupBy("token").agg(*[F.min_by(one, F.xxhash64("cid", F.lit(turn * HUBS + k))).alias(f"h{k}") for k in range(HUBS)])
-    both = left.join(hubs, "token")
-    pairs = None
-    for k in range(HUBS):
-        hub = both.where(F.col(f"h{k}.root") != F.col("root")).select(F.col(f"h{k}.cid").alias("hub"), F.col(f"h{k}.n").alias("m"), "cid", "n")
-        counted = hub.groupBy(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b"), F.col("cid").alias("of")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-        best = possible(counted).groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("c", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
-        pairs = best if pairs is None else pairs.unionByName(best)
-    return pairs.distinct()
-
-
 def _degrees(rows: DataFrame, classes: DataFrame, final: DataFrame, store: Scratch, words: int, percent: int, enough) -> DataFrame:
     """cid and n_links, the number of other classes that it links with, of the classes that link."""
     several = final.groupBy("top").agg(F.count("*").alias("size")).where("size > 1").select("top")
     linked = final.join(several, "top").repartitionByRange("top", "cid").sortWithinPartitions("top", "cid")
-    seats = store.put(linked.select("cid", F.monotonically_increasing_id().alias("root"), "top"), "seats")
+    seats = store.put(linked.select("cid", F.monotonically_increasing_id().alias("seat"), "top"), "seats")
     marked = classes.select("cid", "n", "bits", "prefix").join(seats, "cid").select("*", F.posexplode("prefix").alias("at", "token"))
-    marked = store.put(marked.selectExpr("token", "cid", "n", "root", "top", "at", *_BEFORE, "bits"), "marked-all")
-    blocks = (F.expr(f"cast(floor(root / {BLOCK}) as long) as x"), F.expr(f"cast(floor(root_b / {BLOCK}) as long) as y"))
-    pairs = store.put(_open_pairs(marked, percent, enough, "top = top_b and root < root_b", *blocks), "pairs-all")
+    marked = store.put(marked.selectExpr("token", "cid", "n", "seat", "top", "at", "at as i", *_before("prefix", "", "at"), "bits"), "marked-all")
+    blocks = (F.expr(f"cast(floor(seat / {BLOCK}) as long) as x"), F.expr(f"cast(floor(seat_b / {BLOCK}) as long) as y"))
+    pairs = store.put(_open_pairs(marked, percent, enough, "top = top_b and seat < seat_b", *blocks), "pairs-all")
     store.drop("marked-all")
     needs = store.put(pairs.selectExpr("x", "y", "a as cid").unionByName(pairs.selectExpr("x", "y", "b as cid")).distinct(), "needs")
     sets = store.put(_fetched(rows, classes, needs.select("cid").distinct(), words), "sets-all")
@@ -356,9 +404,7 @@ def _links_of(percent: int):
         found: Counter = Counter()
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
             p, q = sets[a], sets[b]
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            common = _common(p, q)
             if 100 * common >= percent * (len(p) + len(q) - common):
                 found.update((a, b))
         return pa.table({"cid": pa.array(found.keys(), pa.int64()), "n_links": pa.array(found.values(), pa.int64())})
@@ -366,41 +412,25 @@ def _links_of(percent: int):
     return run
 
 
-_BEFORE = [f"prefix[greatest(at - {k}, 0)] as p{k}" for k in range(1, EARLIER + 1)]
+def _before(items: str, field: str, i: str = "i") -> list[str]:
+    """p1, p2 ...: the items before the i-th."""
+    return [f"{items}[greatest({i} - {k}, 0)]{field} as p{k}" for k in range(1, EARLIER + 1)]
 
 
 def _open_pairs(marked: DataFrame, percent: int, enough, which: str, *more) -> DataFrame:
-    """The pairs a, b of classes for which `which` holds that the filters leave, each from few of the lists that both are in."""
+    """The pairs a, b for which `which` holds that the filters leave, each from few of the lists that both are in."""
     other = marked.select("token", *[F.col(c).alias({"cid": "b", "n": "m"}.get(c, f"{c}_b")) for c in marked.columns if c != "token"])
     earlier = " or ".join(f"p{i} = p{j}_b" for i in range(1, EARLIER + 1) for j in range(1, EARLIER + 1))
     met = marked.withColumnRenamed("cid", "a").join(other, "token")
     met = met.where(f"{which} and 100 * least(n, m) >= {percent} * greatest(n, m)").where(F.expr("least(n - at, m - at_b)") >= enough)
-    met = met.where(f"at = 0 or at_b = 0 or not ({earlier})")
-    met = met.where(F.least(F.expr(f"n - {_lacking_sql('bits', 'bits_b')}"), F.expr(f"m - {_lacking_sql('bits_b', 'bits')}")) >= enough)
+    met = met.where(_bits_allow(enough)).where(f"i = 0 or i_b = 0 or not ({earlier})")
     return met.select("a", "b", *more).distinct()
 
 
-def _between(links: DataFrame, left: DataFrame) -> DataFrame:
-    """Links between classes as links between their components."""
-    root = left.select("cid", "root").distinct()
-    return links.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-
-
-def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
-    """node, higher of two mappings of roots, one after the other."""
-    after = then.toDF("mid", "top")
-    moved = first.join(after, F.col("higher") == F.col("mid"), "left").select("node", F.coalesce("top", "higher").alias("higher"))
-    return moved.unionByName(then.join(first.select("node"), "node", "left_anti"))
-
-
-def _alone(postings: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Lists of one group matter only if that group's members are in two components."""
-    return postings.select("token", F.col("cid").alias("gid")).join(mixed.where("lo < hi"), "gid")
-
-
-def _lacking_sql(one: str, other: str) -> str:
-    """How many shingles of one bitmap's set the other's lacks, at least."""
-    return "(" + " + ".join(f"bit_count({one}[{i}] & ~{other}[{i}])" for i in range(BITMAP)) + ")"
+def _bits_allow(enough):
+    """Whether the bitmaps, where both are known, leave a link possible."""
+    lacking = lambda one, other: " + ".join(f"bit_count({one}[{k}] & ~{other}[{k}])" for k in range(BITMAP))
+    return F.expr("bits is null or bits_b is null") | (F.least(F.expr(f"n - ({lacking('bits', 'bits_b')})"), F.expr(f"m - ({lacking('bits_b', 'bits')})")) >= enough)
 
 
 def _prefix_sql(n: str, percent: int) -> str:
@@ -408,8 +438,18 @@ def _prefix_sql(n: str, percent: int) -> str:
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, all columns as they are, with one document of each component: the one with the smallest doc_id. Empty ones stay."""
-    found = near_duplicates(docs, words, percent, count=False)
-    drop = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_near_doc"), F.col("same").alias("_near_same")).distinct()
-    same = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["_near_doc"]) & (same == drop["_near_same"]), "left_anti")
+    """docs, all columns as they are, with one row of each component: one with the smallest doc_id. Rows without words stay.
+
+    Components without any doc_id keep one row too; of rows that share doc_id and text any one stands for the others.
+    """
+    store = Scratch(docs.sparkSession, "representatives")
+    found = store.put(_members(docs, words, percent, count=False).where("n_shingles > 0"), "found")
+    best = found.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("x"), F.count("*").alias("size")).where("size > 1").select("top", "x.doc_id", "x.same")
+    alike = F.col("f.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("f.same") == F.col("b.same"))
+    judged = found.alias("f").join(best.alias("b"), "top").groupBy(F.col("f.doc_id").alias("_near_doc"), F.col("f.same").alias("_near_same")).agg(F.max(alike).alias("_near_best"), F.count("*").alias("_near_rows"))
+    judged = store.put(judged, "judged")
+    here = docs.withColumns({"_near_of": F.col("doc_id").cast("long"), "_near_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    on = here["_near_of"].eqNullSafe(judged["_near_doc"]) & (here["_near_hash"] == judged["_near_same"])
+    once = here.join(judged.where("not _near_best or _near_rows > 1"), on, "left_anti").select(*docs.columns)
+    twice = here.join(judged.where("_near_best and _near_rows > 1"), on, "left_semi").groupBy("_near_of", "_near_hash").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(twice)

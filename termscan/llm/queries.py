@@ -39,7 +39,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("same")
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), count=False).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

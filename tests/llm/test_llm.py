@@ -232,7 +232,36 @@ def test_jaccard_join(spark, rows, monkeypatch):
     docs = table(spark, data)
     got = jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
     assert collections.Counter(map(tuple, got.collect())) == brute_components(data)
-    assert jaccard_join.representatives(docs).columns == docs.columns
+    kept = jaccard_join.representatives(docs)
+    assert kept.columns == docs.columns
+    expected = brute_components(data)
+    alone = collections.Counter({i: n for (i, size, _), n in expected.items() if not size})
+    texts = {c: 1 for _, size, c in expected if size}
+    assert collections.Counter(r.doc_id for r in kept.collect()) == alone + collections.Counter(texts)
+
+
+def test_jaccard_join_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = jaccard_join.near_duplicates(docs, count=False).select("doc_id", "n_shingles", "component_id")
+    assert collections.Counter(map(tuple, got.collect())) == brute_components([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_representatives_without_ids(spark):
+    text = prose(random.Random(5), 30)
+    data = [(None, text), (None, text + " x"), (None, text), (None, None), (None, ""), (7, "own words"), (7, "own words")]
+    kept = jaccard_join.representatives(table(spark, data)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in kept) == [(0, ""), (0, ""), (0, text[:3]), (7, "own")]
+
+
+def test_word_codes():
+    for trial in range(200):
+        rng = random.Random(trial)
+        blob = "".join(rng.choice(["a", "B", "é", " ", "\n", "\t", "\x0b", "x" * rng.choice([1, 4095, 4096, 4097, 300_000]) if rng.random() < 0.02 else "q"]) for _ in range(rng.randint(0, 3000))).encode()
+        words = blob.lower().split()
+        codes, places = jaccard_join.word_codes(blob)
+        assert [blob[p : p + len(w)].lower() for p, w in zip(places.tolist(), words, strict=True)] == words
+        known = dict(zip(words, codes.tolist(), strict=True))
+        assert [known[w] for w in words] == codes.tolist() and len(set(known.values())) == len(known)
 
 
 def test_jaccard_join_counts_all_links(spark, monkeypatch):
