@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -354,6 +355,55 @@ def test_html(spark):
     assert first.text == "T & x\n\none two\n\nthree"
 
 
+@pytest.mark.parametrize(("html", "expected"), [
+    ('<div class="layout with-sidebar"><p>real text</p></div>', [("real text", 0)]),
+    ('<div class="post" id="main-header-free">post</div><main class="has-sidebar">m</main>', [("post", 0), ("m", 1)]),
+    ('<article><h2 id="related-work">h</h2><div class="overflow-hidden">t</div><section id="search">s</section></article>', [("h", 1), ("t", 1), ("s", 1)]),
+    ('<div class="ad">x</div><ol class="comment-list"><li><article class="comment-body">c</article></li></ol>ok', [("ok", 0)]),
+    ('<div class="sidebar"><article>in</article> no</div>', [("in", 1)]),
+    ("<aside><article>no</article></aside>yes<nav>never ends", [("yes", 0), ("never ends", 0)]),
+    ('<div hidden>n</div><div data-x="hidden">y</div><p style="display:none">z<p>w', [("y", 0), ("w", 0)]),
+    ('<div class="site-header">h</div><header>q</header><article><header><h1>T</h1></header>b<p title="a>b">c</article>', [("T", 1), ("b", 1), ("c", 1)]),
+    ("a < b <3 &lt;p> <!-- > --> c", [("a < b <3 <p> c", 0)]),
+])
+def test_blocks(html, expected):
+    assert html_extract.blocks_of(f"<html><body>{html}</body></html>") == expected
+
+
+@pytest.mark.parametrize("html", ["<a '" * 8000, "<a '" * 8001, "<!" * 50_000, "<" * 100_000, "<form>" * 20_000, "<div class='ad'>" * 20_000, "<article>" * 20_000, "<script>" * 20_000, "<a '>" * 20_000 + "'"])
+def test_hostile_pages_are_read_in_time(html):
+    began = time.monotonic()
+    html_extract.blocks_of(html)
+    assert time.monotonic() - began < 3
+
+
+def test_alignment_of_many_equal_blocks():
+    rng, began = random.Random(3), time.monotonic()
+    a, b = ([rng.choice("abcdef") for _ in range(4000)] for _ in range(2))
+    assert _within([a[i] for i in sorted(html_extract.common_lines(a, b))], b) and time.monotonic() - began < 3
+
+
+def test_differencing_decides():
+    lines, other = ["menu", "own text", "quoted line", "card"], ["menu", "quoted line", "else", "card"]
+    assert html_extract.main_text(lines, [0, 1, 1, 2], [other]) == "own text\n\nquoted line"  # the second article is shared, the first is not
+    assert html_extract.main_text(lines, [0, 0, 0, 0], [other]) == "own text"
+    assert html_extract.main_text(lines, [0, 0, 0, 0], [lines]) == "\n\n".join(lines)  # a copy says nothing
+    assert html_extract.main_text(["menu", "card"], [0, 1], [["menu", "card", "x"]]) == "card"
+
+
+def test_html_pages_with_neighbours_in_other_partitions(spark):
+    pages = [(i, f"http://h/{i:03d}", PAGE % f"<div>shared</div><p>text {i}</p>" if i % 9 else None) for i in range(90)] * 2
+    parts = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(40)
+    with_many = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = collections.Counter((r.page_id, r.text) for r in html_extract.extracted(parts).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", with_many)
+    assert sum(got.values()) == 180 and all(text in ("", f"text {i}", f"shared\n\ntext {i}") for i, text in got)
+    assert all(got[i, ""] == 2 for i in range(0, 90, 9))
+
+
 def test_common_lines_brute():
     rng = random.Random(0)
     for _ in range(300):
