@@ -10,7 +10,7 @@ share among toxic and other training documents; of a family of beginnings the sh
 two-word phrase around a term that comes up in clean documents makes an exception. The sample is the training documents
 with the smallest hash of doc_id, SAMPLE of them at most; only the fit is bounded so, every row is scored.
 
-Null and empty texts score 0. Every row gives a row. Rows without a doc_id are never learned from and count as not held
+Null and empty texts score 0; very long texts are scored whole, one at a time. Every row gives a row. Rows without a doc_id are never learned from and count as not held
 out. Labels with a null count for nothing; a document labelled twice is toxic if one label says so. Without toxic labels the
 lexicon is empty and every score 0. Extra columns are ignored.
 """
@@ -19,9 +19,9 @@ import math
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from ._common import out, sliced, texts
 
 THRESHOLD = 0.3
-#: Labelled documents that the lexicon is learned from at most, and terms that it holds at most.
+#: Labelled documents that the lexicon is learned from at most; they bound its terms and exceptions too.
 SAMPLE = 8_000
-TERMS = 2_000
 #: Lengths of word beginnings that are tried.
 SHORTEST, LONGEST = 4, 10
 #: Log of the number of terms that may come in by chance.
@@ -94,6 +93,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out({"t": list(counts), "x": [v[0] for v in counts.values()], "c": [v[1] for v in counts.values()]}, _FEATURE)
 
 
+def _word_before(text: str, at: int) -> str:
+    while at and text[at - 1] == " ":
+        at -= 1
+    return text[text.rfind(" ", 0, at) + 1 : at]
+
+
+def _word_after(text: str, at: int) -> str:
+    while at < len(text) and text[at] == " ":
+        at += 1
+    end = text.find(" ", at)
+    return text[at:] if end < 0 else text[at:end]
+
+
 class Lexicon:
     """Weighted terms with exceptions. Terms begin with a space; whole words end with one too."""
 
@@ -120,10 +132,8 @@ class Lexicon:
         for end, (term, weight) in self.automaton.iter(text):
             start = end - len(term) + 1
             stop = text.find(" ", start + 1)
-            word = text[start:stop].strip()
-            before = text[max(0, start - 60) : start].split()[-1:]
-            after = text[stop : stop + 60].split()[:1]
-            yield term, weight, [" ".join((*before, word)) if before else "", " ".join((word, *after)) if after else ""]
+            word, before, after = text[start + 1 : stop], _word_before(text, start), _word_after(text, stop)
+            yield term, weight, [f"{before} {word}" if before else "", f"{word} {after}" if after else ""]
 
     def raw_score(self, text: str) -> float:
         """The weights of the occurrences that count, damped by the text's length."""
@@ -154,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
         counted = rows.select("text", F.col("toxic") > 0).toDF("text", "toxic").mapInArrow(_features, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum("clean").alias("c"))
         counted = counted.persist()
         n_terms = counted.count()
-        best = counted.where(f"x >= 3 and c <= 0.05 * x * {max(1.0, n_clean / n_toxic)}").orderBy(F.desc(F.expr("x / (x + 2 * c + 2)")), F.desc("x"), "term").limit(20 * TERMS).collect()
+        best = counted.where(f"x >= 3 and c <= 0.05 * x * {max(1.0, n_clean / n_toxic)}").collect()  # the sample bounds them
         counted.unpersist()
         chosen = _chosen([(r["term"], r["x"], r["c"]) for r in best], n_toxic, n_clean, n_terms)
         plain = Lexicon(chosen)
@@ -178,7 +188,7 @@ def _chosen(terms: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_ter
         weight = math.log((x + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
         if chance + math.log(n_terms) < CHANCE and weight > 2 and not any(term[:k] in found for k in range(SHORTEST + 1, len(term))):
             found[term] = weight
-    return dict(sorted(found.items(), key=lambda r: (-r[1], r[0]))[:TERMS])
+    return dict(sorted(found.items(), key=lambda r: (-r[1], r[0])))
 
 
 def _phrases(shared):
@@ -208,18 +218,20 @@ def _scale(scored: list[tuple[float, bool]], threshold: float) -> float:
     """The scale at which the threshold splits the training rows best (by F1); ties take the middle of the best stretch."""
     at = -math.log(1 - threshold)
     positives = sum(t for _, t in scored)
-    best, choices = -1.0, []
-    for cut in sorted({r for r, _ in scored if r > 0})[:: max(1, len(scored) // 2000)]:
-        hits = sum(t for r, t in scored if r >= cut)
-        f1 = 2 * hits / (positives + sum(r >= cut for r, _ in scored))
+    best, choices, hits, seen = -1.0, [], 0, 0
+    for cut, group in groupby(sorted((x for x in scored if x[0] > 0), reverse=True), key=lambda x: x[0]):
+        marks = [t for _, t in group]
+        hits, seen = hits + sum(marks), seen + len(marks)
+        f1 = 2 * hits / (positives + seen)
         if f1 > best + 1e-12:
             best, choices = f1, [cut]
         elif abs(f1 - best) <= 1e-12:
             choices.append(cut)
     if not choices:
         return 1.0
-    below = max((r for r, _ in scored if r < choices[0]), default=0.0)
-    return max(1e-6, (choices[0] + below) / 2) / at
+    least = min(choices)
+    below = max((r for r, _ in scored if r < least), default=0.0)
+    return max(1e-6, (least + below) / 2) / at
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,9 +252,10 @@ def accepted(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) ->
     """docs, all columns as they are, without the rows that score at the threshold or above."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda t: shared.value.score(t or ""))
+            parts = sliced([pa.RecordBatch.from_arrays([batch], ["text"])])
+            yield pa.array([shared.value.score(t) for part in parts for t in texts(part)], pa.float64())
 
-    return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
+    return docs.where(score(F.col("text").cast("string")) < threshold)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -159,12 +160,36 @@ def test_exception_phrases():
     assert lexicon.score("put it in the trash can") == 0 and lexicon.score("you tr4sh") > 0
 
 
-def test_all_exception_phrases_are_kept(spark, monkeypatch):
+def test_all_exception_phrases_are_kept(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 30) + (" idiot " if i % 5 == 0 else " my idiot board " if i < 16 else " ") + prose(rng, 30)) for i in range(400)]
-    monkeypatch.setattr(toxicity, "TERMS", 1)
     lexicon = toxicity.learn(table(spark, rows), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int"))
-    assert len(lexicon.weights) == 1 and len(lexicon.exceptions) >= 2
+    assert len(lexicon.exceptions) >= 2
+
+
+def test_scores_against_a_plain_version(spark):
+    rng = random.Random(21)
+    words = ["trash", "trashy", "idiot", "tr4sh", "can", "board", "x" * 80, "а", "trаsh", "-", "The"]
+    lexicon = toxicity.Lexicon({" trash": 2.0, " idiot ": 1.5, " can ": 0.25}, {"trash can", f"{'x' * 80} idiot"}, 1.7)
+    data = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(300)] + [(1, "trash"), (1, "trash"), (None, "idiot"), (900, None), (901, ""), (902, ("fine " * 3000 + "trash ") * 40)]
+
+    def plain(text):
+        found, total = toxicity.folded(text or "").split(), 0.0
+        for k, w in enumerate(found):
+            near = {" ".join(found[max(0, k - 1) : k + 1])} - {w} | ({f"{w} {found[k + 1]}"} if k + 1 < len(found) else set())
+            total += 0 if near & lexicon.exceptions else 2.0 * w.startswith("trash") + 1.5 * (w == "idiot") + 0.25 * (w == "can")
+        return 1 - math.exp(-total / math.sqrt(1 + toxicity.folded(text or "").count(" ") / 2000) / 1.7)
+
+    got = collections.Counter((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.toxicity(table(spark, data), lexicon).collect())
+    assert got == collections.Counter((i, round(plain(t), 9), int(plain(t) >= 0.3)) for i, t in data)
+    kept = toxicity.accepted(table(spark, data), lexicon)
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter((i, t) for i, t in data if plain(t) < 0.3)
+
+
+def test_learning_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    one, other = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(7), labels.repartition(3))
+    assert (one.weights, one.exceptions, one.scale) == (other.weights, other.exceptions, other.scale) and one.weights
 
 
 @pytest.mark.parametrize("block", [20, 500_000])
