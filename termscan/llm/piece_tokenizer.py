@@ -11,7 +11,11 @@ are all equal); words whose round would make one merge only its leftmost occurre
 Words are cut where a space mark follows another character: no piece of the vocabulary holds such a place (checked when
 the model is loaded), so words do not interact, and a worker encodes each distinct word once.
 
-Null texts count as empty: no ids, and they decode to the empty text. Every row gives a row; extra columns are ignored.
+Runs of space marks, whose merges all rank alike, are first shortened by the longest piece of marks, which each such stretch
+of a run ends as.
+
+Null texts count as empty: no ids, and they decode to the empty text. Very long texts are encoded whole, one at a time. Every
+row gives a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,6 @@ from pyspark.sql import DataFrame
 from ._common import Remembered, keyed, out, sliced, texts
 
 MARK = "▁"
-#: Distinct words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
 #: Symbols that the merge rounds take at a time.
 ROUND_SYMBOLS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -89,6 +91,7 @@ class PieceModel:
             self.table[slot[free]] = left[free]
             left = left[self.table[slot] != left]
             self.probes += 1
+        self.run = self._runs()
         self.words = Remembered()
         whole = [b" \xe2\x81\x87 " if kind == UNKNOWN else b"" if kind == CONTROL else bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
         self.kinds = np.array([kind for *_, kind in pieces])
@@ -161,8 +164,33 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return flat[order], word[order]
 
+    def _runs(self) -> tuple[int, int]:
+        """The symbols m of the longest run of space marks that is a piece, if runs can be shortened by it (else 0), and its id.
+
+        If all merges of marks rank alike, the leftmost comes first. So the first m marks of a longer run end as that piece,
+        if a run of m alone does, and no piece goes on from it; what follows is as if they were not there.
+        """
+        runs = {len(p): i for p, i in self.number.items() if not p.strip(MARK)}
+        most = max(runs, default=0)
+        mixed = any(p.startswith(MARK * 2) and p.strip(MARK) for p in self.number)
+        ranks = {int(r) for r, i in zip(self.ranks, self.makes, strict=True) if int(i) in runs.values()}
+        if most < 2 or mixed or len(ranks) > 1:
+            return 0, 0
+        alone, _ = self.merge(np.full(most, self.symbols[MARK], np.int64), np.zeros(most, np.int64))
+        return (most, runs[most]) if alone.tolist() == [runs[most]] else (0, 0)
+
     def _learn(self, words: list[str]) -> None:
         """Encodes words, given without their first space mark, and remembers their ids."""
+        most, piece = self.run
+        long = [w for w in words if most and w.startswith(MARK * (4 * most - 1))]
+        if long:  # runs of three to four times `most` marks stay
+            begun = {w: (len(w) + 1 - len(w.lstrip(MARK))) // most - 3 for w in long}
+            rest = {w: w[begun[w] * most :] for w in long}
+            self._learn([w for w in dict.fromkeys([*words, *rest.values()]) if w not in begun and w not in self.words])
+            for w in long:
+                self.words[w] = np.array([piece], "<u4").tobytes() * begun[w] + self.words[rest[w]]
+                self.words.fits(w, len(self.words[w]))
+            return
         start = 0
         while start < len(words):
             end, held = start, 0
@@ -188,6 +216,7 @@ class PieceModel:
             body = ids.astype("<u4").tobytes()
             for i, w in enumerate(part):
                 self.words[w] = body[cuts[i] : cuts[i + 1]]
+                self.words.fits(w, int(cuts[i + 1] - cuts[i]))
             start = end
 
     def _spelled(self, ids, owner, stray, flat, word):
@@ -222,7 +251,7 @@ class PieceModel:
     def encode(self, rows: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without begin and end ids."""
         cut = [self.split(t) for t in rows]
-        if len(self.words) > REMEMBERED:
+        if self.words.full:
             self.words = Remembered()
         return [np.frombuffer(x, "<u4") for x in self.words.joined(cut, lambda new: self._learn(list(new)))]
 

@@ -8,7 +8,8 @@ Texts are cut at single spaces (a token never crosses from a non-space into a sp
 distinct chunk once and adds up. Texts with two spaces in a row take the tokenizer's own pattern as a whole.
 The tokenizer's special strings count as one token each, as the library does by default.
 
-Null texts count as empty: no bytes, no tokens. Every row gives a row; extra columns are ignored.
+Null texts count as empty: no bytes, no tokens. Very long texts are counted whole, one at a time; a piece of n bytes takes time
+n log n. Every row gives a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from ._common import keyed, out, sliced, texts
 
 LIMIT = 512
-#: Chunks that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Characters of the chunks (each with 60 more) that a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 60 << 20
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
@@ -58,6 +59,7 @@ class PairCounter:
         self.probes = special
         self.pieces: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
+        self.held = 0
 
     def merged(self, symbols: bytes) -> int:
         """Tokens that the symbols of one piece end up as."""
@@ -84,12 +86,18 @@ class PairCounter:
                 heapq.heappush(order, (found[0], h, found[1], i))
         return live
 
+    def _forget(self) -> None:
+        if self.held > REMEMBERED:
+            self.pieces.clear()
+            self.chunks.clear()
+            self.held = 0
+
     def piece(self, text: str) -> int:
         found = self.pieces.get(text)
         if found is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
+            self._forget()
             found = self.pieces[text] = self.merged(text.encode())
+            self.held += len(text) + 60
         return found
 
     def plain(self, text: str) -> int:
@@ -107,12 +115,13 @@ class PairCounter:
             return self.chunk(text)
         head, *rest = text.split(" ")
         total, known = self.chunk(head) if head else 0, self.chunks
-        if len(known) > REMEMBERED:
-            known.clear()
         for x in rest:
             n = known.get(x)
             if n is None:
-                n = known[x] = self.chunk(" " + x)
+                self._forget()
+                n = self.chunk(" " + x)
+                known[x] = n
+                self.held += len(x) + 60
             total += n
         return total
 

@@ -39,7 +39,6 @@ CHUNK_BITS = 8
 RANK_PLACES = 512
 #: Text bytes of an image; a longer text is an image of its own.
 IMAGE_BYTES = 4 << 20
-REMEMBERED = 1_000_000
 
 _MAGIC = b"DAC1"
 _IMAGES = "part int, image int, n_docs int, n_tokens long, body binary"
@@ -192,7 +191,7 @@ class WordEncoder:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in rows], add_special_tokens=False)]
         # ASCII letters are lowered here already, but not where a special token could arise by it
         cut = [(t if b"<" in t else t.lower()).split() for t in rows]
-        if len(self.words) > REMEMBERED:
+        if self.words.full:
             self.words = Remembered({b"": b""})
         return self.words.joined(cut, self._learn_marked)
 
@@ -205,6 +204,8 @@ class WordEncoder:
         self._learn(list(plain.difference(self.words)))
         for w in marked:
             self.words[w] = self.words[w[:-1]] + self.words[w[-1:]]
+        for w in new:
+            self.words.fits(w, len(self.words[w]))
 
 
 @lru_cache(maxsize=4)

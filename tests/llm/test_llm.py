@@ -79,6 +79,12 @@ def test_sentencepiece(spark, rows):
     for _ in range(300):
         ids = [rng.randrange(300) if rng.random() < 0.5 else rng.randrange(32000) for _ in range(rng.randint(0, 9))]
         assert model.decode(ids) == lib.decode(ids)
+    for n in [*range(1, 40), 47, 48, 49, 63, 64, 65, 66, 80, 95, 97, 128, 1000, 1023]:
+        for text in (" " * n, " " * n + "abc  d", "x" + " " * n + "1", "\n" + " " * n + "\n", "▁" * n + " x"):
+            assert model.encode([text])[0].tolist() == lib.encode(text)
+    began = time.monotonic()
+    long = " " * 1_000_000 + "end " * 10 + " " * 999_999
+    assert model.encode([long])[0].tolist() == lib.encode(long) and time.monotonic() - began < 3
     both = piece_tokenizer.decoded(piece_tokenizer.encoded(table(spark, rows), P.path("piece_bpe_32k.model")), P.path("piece_bpe_32k.model"))
     assert collections.Counter(r.text for r in both.collect()) == collections.Counter(t or "" for _, t in rows)
 
@@ -311,6 +317,21 @@ def test_jaccard_join_counts_all_links(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(table(spark, data)).collect()} == expected
 
 
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    from termscan.llm import _common
+
+    model, words = piece_tokenizer.PieceModel(P.path("piece_bpe_32k.model")), [f"w{k}" for k in range(4000)]
+    expected = [x.tolist() for x in model.encode(words)]
+    monkeypatch.setattr(_common.Remembered, "LIMIT", 5000)
+    for k in range(0, 4000, 50):
+        assert [x.tolist() for x in model.encode(words[k : k + 50])] == expected[k : k + 50] and model.words.held < 5000 + 50 * 200
+    counter = token_counts.PairCounter(P.path("byte_bpe_50k.json"), P.PATTERN)
+    known = [counter.count(f"a {w} {w}x") for w in words]
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3000)
+    counter = token_counts.PairCounter(P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert [counter.count(f"a {w} {w}x") for w in words] == known and counter.held < 4000 and len(counter.chunks) < 100
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2040)]
