@@ -81,16 +81,16 @@ for _name, (_term, _where) in TERMS.items():
 
 #: Message cases in many scripts: name, term, text, whether it hits.
 CASES = [
-    ("or", "price OR spread", "the Spread widened", True), ("or_miss", "price OR spread", "nothing here", False),
-    ("and", "insider AND announcement", "an insider before the announcement", True), ("and_miss", "insider AND announcement", "only an insider", False),
-    ("and_not", "tip* AND NOT disclaimer", "a tipster", True), ("and_not_miss", "tip* AND NOT disclaimer", "tips, disclaimer below", False),
-    ("near_4", "tip NEAR{4} announcement", "the tip one two three four announcement", True), ("near_3", "tip NEAR{3} announcement", "the tip one two three four announcement", False),
-    ("near_back", "tip NEAR{1} announcement", "announcement of tip", True), ("followed", "buy FOLLOWEDBY{1} now", "buy it now", True), ("followed_miss", "buy FOLLOWEDBY{1} now", "now buy", False),
-    ("lines", "buy FOLLOWEDBY{1} now", "buy\nnow", True), ("korean", "비밀 OR 내부자 거래", "이것은 내부자 거래 입니다", True), ("korean_near", "내부자 NEAR{3} 거래", "내부자의 주식 거래", True),
-    ("chinese", "内幕交易 OR 操纵市场", "涉嫌内幕交易", True), ("chinese_near", "内幕 NEAR{2} 交易", "内幕消息的交易", True), ("chinese_far", "内幕 NEAR{2} 交易", "内幕消息消息消息消息消息的交易", False),
-    ("japanese", "インサイダー取引", "これはインサイダー取引です", True), ("arabic_near", "السعر NEAR{2} التلاعب", "السعر و التلاعب", True), ("hebrew", "מידע פנים", "זה מידע פנים חשוב", True),
-    ("german", "Übernahme OR Insiderhandel", "die übernahme kommt", True), ("turkish", "içeriden bilgi", "bu içeriden bilgi", True), ("emoji", "💰 OR 🤫", "pst 🤫", True), ("emoji_miss", "💰 OR 🤫", "pst", False),
-    ("leet", "1ns1d3r* OR fr0nt*", "an 1ns1d3rs tip", True), ("mixed_near", "insider NEAR{3} 내부자", "insider tip 내부자", True), ("quote", "don't FOLLOWEDBY{3} compliance", "don't tell the compliance", True), ("null_text", "price", None, False),
+    ("or", "copper OR zinc", "the Zinc widened", True), ("or_miss", "copper OR zinc", "nothing here", False),
+    ("and", "harbour AND bulletin", "an harbour before the bulletin", True), ("and_miss", "harbour AND bulletin", "only an harbour", False),
+    ("and_not", "crane* AND NOT footnote", "a craneman", True), ("and_not_miss", "crane* AND NOT footnote", "cranes, footnote below", False),
+    ("near_4", "crane NEAR{4} bulletin", "the crane one two three four bulletin", True), ("near_3", "crane NEAR{3} bulletin", "the crane one two three four bulletin", False),
+    ("near_back", "crane NEAR{1} bulletin", "bulletin of crane", True), ("followed", "buy FOLLOWEDBY{1} now", "buy it now", True), ("followed_miss", "buy FOLLOWEDBY{1} now", "now buy", False),
+    ("lines", "buy FOLLOWEDBY{1} now", "buy\nnow", True), ("korean", "항구 OR 등대지기 불빛", "이것은 등대지기 불빛 입니다", True), ("korean_near", "등대지기 NEAR{3} 불빛", "등대지기의 푸른 불빛", True),
+    ("chinese", "灯塔渔船 OR 港口海风", "远处灯塔渔船", True), ("chinese_near", "灯塔 NEAR{2} 渔船", "灯塔海风的渔船", True), ("chinese_far", "灯塔 NEAR{2} 渔船", "灯塔海风海风海风海风海风的渔船", False),
+    ("japanese", "カモメの海岸", "これはカモメの海岸です", True), ("arabic_near", "البحر NEAR{2} الميناء", "البحر و الميناء", True), ("hebrew", "נמל הים", "זה נמל הים יפה", True),
+    ("german", "Überfahrt OR Leuchtturm", "die überfahrt kommt", True), ("turkish", "gümüş balık", "bu gümüş balık", True), ("emoji", "🐟 OR 🚢", "pst 🚢", True), ("emoji_miss", "🐟 OR 🚢", "pst", False),
+    ("leet", "h4rb0ur* OR qu4y*", "an h4rb0urs tip", True), ("mixed_near", "harbour NEAR{3} 등대지기", "harbour tip 등대지기", True), ("quote", "don't FOLLOWEDBY{3} captain", "don't tell the captain", True), ("null_text", "copper", None, False),
 ]
 
 
@@ -111,8 +111,8 @@ def term_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCRIPT_CASES = [
-    ("hello", "LATIN"), (None, "LATIN"), ("  ", "LATIN"), ("12345", "LATIN"), ("🤫", "LATIN"), ("привет", "LATIN"), ("السعر", "ARABIC"), ("מידע", "HEBREW"), ("नमस्ते", "DEVANAGARI"), ("内幕", "CJK"),
-    ("カタカナ", "KANA"), ("내부자", "HANGUL"), ("สวัสดี", "THAI"), ("インサイダー取引", "MIXED_CJK"), ("insider 내부자", "MIXED_CJK"), ("price السعر", "MIXED_RTL"), ("السعر מידע", "MIXED"), ("hello नमस्ते", "MIXED"),
+    ("hello", "LATIN"), (None, "LATIN"), ("  ", "LATIN"), ("12345", "LATIN"), ("🚢", "LATIN"), ("привет", "LATIN"), ("البحر", "ARABIC"), ("נמל", "HEBREW"), ("नमस्ते", "DEVANAGARI"), ("灯塔", "CJK"),
+    ("カタカナ", "KANA"), ("등대지기", "HANGUL"), ("สวัสดี", "THAI"), ("カモメの海岸", "MIXED_CJK"), ("harbour 등대지기", "MIXED_CJK"), ("copper البحر", "MIXED_RTL"), ("البحر נמל", "MIXED"), ("hello नमस्ते", "MIXED"),
 ]
 
 
@@ -127,21 +127,44 @@ SELECT CASE WHEN NOT regexp_matches(t, '[\p{L}]') THEN 'LATIN' WHEN regexp_match
   WHEN regexp_matches(t, '[\p{Arabic}\p{Hebrew}]') THEN 'MIXED_RTL' ELSE 'LATIN' END AS script, count(*) AS n
 FROM (SELECT coalesce(text, '') AS t FROM documents) GROUP BY 1""")
 def script_detect_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy(scripts.script_type(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
+    docs = multiscan.spread(_docs(spark, sf_dir).select("text"))
+    return docs.groupBy(scripts.script_type(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
+
+
+#: Words of many scripts that are put in front of documents in turn.
+_FOREIGN = ["", "港口", "カモメ", "등대", "ท่าเรือ", "ميناء", "נמל", "ޖަހާޒު", "बंदरगाह", "порт", "ひかり 港", "등대 ميناء", "ميناء נמל", "บ้าน बंदरगाह", "\u200d\u0301", "ဆိပ်", "བོད"]
+_HAS = {c: "regexp_matches(shown, '[" + "".join(f"\\p{{{s}}}" for s in names) + "]')" for c, names in scripts.CATEGORIES.items()}
+
+
+def _none_but(*own: str) -> str:
+    return "NOT (" + " OR ".join(c.lower() for c in _HAS if c not in own) + ")"
+
+
+@_query(rf"""
+SELECT doc_id, CASE WHEN {_none_but()} THEN 'LATIN' WHEN {_none_but('CJK')} THEN 'CJK' WHEN {_none_but('KANA')} THEN 'KANA' WHEN {_none_but('HANGUL')} THEN 'HANGUL' WHEN {_none_but('THAI')} THEN 'THAI'
+  WHEN {_none_but('ARABIC', 'OTHER_RTL')} THEN 'ARABIC' WHEN {_none_but('HEBREW')} THEN 'HEBREW' WHEN {_none_but('INDIC')} THEN 'DEVANAGARI' WHEN {_none_but('LATIN')} THEN 'LATIN'
+  WHEN cjk OR kana OR hangul OR thai THEN 'MIXED_CJK' WHEN (arabic OR hebrew OR other_rtl) AND (latin OR indic) THEN 'MIXED_RTL' ELSE 'MIXED' END AS script
+FROM (SELECT doc_id, {', '.join(f'{has} AS {c.lower()}' for c, has in _HAS.items())}
+  FROM (SELECT doc_id, regexp_replace(list_extract([{', '.join("'" + w + "'" for w in _FOREIGN)}], CAST(doc_id % {len(_FOREIGN)} AS INT) + 1) || CASE WHEN doc_id % 3 = 0 THEN ' 12' ELSE ' ' || coalesce(text, '') END, '[\x{{200C}}-\x{{200F}}\x{{FEFF}}\p{{Mn}}\p{{Mc}}]', '', 'g') AS shown FROM documents))""")
+def script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script types of documents behind a word of another script; a third of them keep that word alone."""
+    word = F.element_at(F.array(*map(F.lit, _FOREIGN)), (F.col("doc_id") % len(_FOREIGN)).cast("int") + 1)
+    text = F.concat(word, F.when(F.col("doc_id") % 3 == 0, " 12").otherwise(F.concat(F.lit(" "), F.coalesce("text", F.lit("")))))
+    return multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", scripts.script_type(text).alias("script"))
 
 
 @_query(r"SELECT doc_id, regexp_matches(coalesce(text, ''), '[^\x00-\x7F]') AS non_ascii, regexp_matches(coalesce(text, ''), '[\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F100}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}]') AS emoji FROM documents")
 def character_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", scripts.has_non_ascii(F.col("text")).alias("non_ascii"), scripts.has_emoji(F.col("text")).alias("emoji"))
+    return multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", scripts.has_non_ascii(F.col("text")).alias("non_ascii"), scripts.has_emoji(F.col("text")).alias("emoji"))
 
 
 #: A lexicon and its verdicts: id, term, type, status, pattern, flags, post filter.
 GOLDEN = [
-    ("t1", "(manipulate*) NEAR{5} ((price) OR (spread) OR (stock))", "Standard", "PASS", r"(?:manipulate\S*(?:\s+\S+){0,5}\s+(?:price|spread|stock)|(?:price|spread|stock)(?:\s+\S+){0,5}\s+manipulate\S*)", 3, False),
-    ("t2", "insider AND before AND announcement", "Standard", "PASS", "(?:insider|before|announcement)", 3, True),
-    ("t3", "tip* AND NOT disclaimer", "Standard", "PASS", r"tip\S*", 3, True), ("t4", "NOT spam", "Standard", "PASS", "spam", 3, True), ("t5", "price OR spread", "Standard", "PASS", "(?:price|spread)", 1, False),
-    ("t6", "💰 OR 🤫", "Standard", "PASS", r"(?:\x{1F4B0}|\x{1F92B})", 97, False), ("t7", "내부자 NEAR{3} 거래", "Standard", "PASS", r"(?:내부자[\s\S]{0,18}거래|거래[\s\S]{0,18}내부자)", 99, False),
-    ("t8", "[unclosed", "Standard", "FAILED", None, 0, False), ("t9", "NEAR{5} (price)", "Standard", "FAILED", None, 0, False), ("t10", "()", "Standard", "FAILED", "", 1, False), ("t11", "**", "Standard", "FAILED", r"\S*\S*", 1, False),
+    ("t1", "(juggle*) NEAR{5} ((copper) OR (zinc) OR (nickel))", "Standard", "PASS", r"(?:juggle\S*(?:\s+\S+){0,5}\s+(?:copper|zinc|nickel)|(?:copper|zinc|nickel)(?:\s+\S+){0,5}\s+juggle\S*)", 3, False),
+    ("t2", "harbour AND before AND bulletin", "Standard", "PASS", "(?:harbour|before|bulletin)", 3, True),
+    ("t3", "crane* AND NOT footnote", "Standard", "PASS", r"crane\S*", 3, True), ("t4", "NOT kelp", "Standard", "PASS", "kelp", 3, True), ("t5", "copper OR zinc", "Standard", "PASS", "(?:copper|zinc)", 1, False),
+    ("t6", "🐟 OR 🚢", "Standard", "PASS", r"(?:\x{1F41F}|\x{1F6A2})", 97, False), ("t7", "등대지기 NEAR{3} 불빛", "Standard", "PASS", r"(?:등대지기[\s\S]{0,18}불빛|불빛[\s\S]{0,18}등대지기)", 99, False),
+    ("t8", "[unclosed", "Standard", "FAILED", None, 0, False), ("t9", "NEAR{5} (copper)", "Standard", "FAILED", None, 0, False), ("t10", "()", "Standard", "FAILED", "", 1, False), ("t11", "**", "Standard", "FAILED", r"\S*\S*", 1, False),
     ("t12", r"\binsid(er|e)\b", "NLT", "PASS", r"\binsid(er|e)\b", 3, False), ("t13", "(?=.*a).*", "NLT", "FAILED", "(?=.*a).*", 3, False), ("t14", "(unclosed", "NLT", "FAILED", "(unclosed", 3, False), ("t15", "(unclosed", "Standard", "PASS", r"\(unclosed", 1, False),
     ("t16", "   ", "Standard", "FAILED", None, 0, False), ("t17", "*", "Standard", "PASS", r"\S+", 1, False), ("t18", "Straße AND x", "Standard", "PASS", "(?:Straße|x)", 99, True),
 ]
@@ -174,16 +197,16 @@ def pattern_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicons.pattern_set(_compiled(spark)).select("id", "term_id")
 
 
-@_query(_values([("1", "CASELESS"), ("3", "CASELESS,DOTALL"), ("97", "CASELESS,UTF8,UCP"), ("2049", "CASELESS,UNKNOWN(0x800)")], "bits, names"))
+@_query(_values([("0", "NO_FLAG"), ("1", "CASELESS"), ("3", "CASELESS,DOTALL"), ("97", "CASELESS,UTF8,UCP"), ("2049", "CASELESS,UNKNOWN(0x800)")], "bits, names"))
 def flag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1,), (3,), (97,), (2049,)], "flags int")
+    rows = spark.createDataFrame([(0,), (1,), (3,), (97,), (2049,)], "flags int")
     return rows.select(F.col("flags").cast("string").alias("bits"), F.array_join(lexicons.flag_names(F.col("flags")), ",").alias("names"))
 
 
-CSV = '﻿Term ID,Term Description,Risk Driver Name\n1,price OR spread,R1\n\n# a comment,x,y\n2,  """quoted"" phrase",\n3,"with, comma",R3\nonlyone\n4,two cells\n,,\n'
+CSV = '﻿Term ID,Term Description,Risk Driver Name\n1,copper OR zinc,R1\n\n# a comment,x,y\n2,  """quoted"" phrase",\n3,"with, comma",R3\nonlyone\n4,two cells\n,,\n'
 
 
-@_query(_values([("1", "price OR spread", "R1"), ("2", '"quoted" phrase', None), ("3", "with, comma", "R3"), ("4", "two cells", None)], "term_id, term_description, risk_driver_name"))
+@_query(_values([("1", "copper OR zinc", "R1"), ("2", '"quoted" phrase', None), ("3", "with, comma", "R3"), ("4", "two cells", None)], "term_id, term_description, risk_driver_name"))
 def lexicon_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termscan.sources.lexicons import read_csv
     from termscan.sources.shared import put_text
@@ -205,7 +228,7 @@ def _near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{_NEAR}')) AS BIGINT) AS n FROM documents")
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = terms.translate(NEAR)
-    return _docs(spark, sf_dir).select("doc_id", matches.match_count(F.col("text"), terms.inline(t.flags) + t.pattern).alias("n"))
+    return multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", matches.match_count(F.col("text"), terms.inline(t.flags) + t.pattern).alias("n"))
 
 
 @_query(f"SELECT doc_id, match_text, CAST(s AS INT) AS start_char, CAST(s + length(match_text) AS INT) AS end_char FROM ({_FOUND})")
@@ -226,7 +249,7 @@ def match_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT doc_id, replace(replace(array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN chr(1) || x || chr(2) ELSE x END), ''), chr(1), '<mark class=\"lex-match\">'), chr(2), '</mark>') AS html FROM (SELECT doc_id, list_transform(p, lambda x: replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS p FROM ({_PARTS}))")
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = terms.translate(NEAR)
-    return _docs(spark, sf_dir).select("doc_id", matches.highlighted(F.col("text"), terms.inline(t.flags) + t.pattern).alias("html"))
+    return multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", matches.highlighted(F.col("text"), terms.inline(t.flags) + t.pattern).alias("html"))
 
 
 # lexicons over tables
@@ -284,7 +307,7 @@ def pattern_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_hits_sql("conversations", "conv_id, turn"))
 def conversations_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiscan.scan(_docs(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", LEXICON).drop("text")
+    return multiscan.scan(multiscan.spread(_docs(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), "text", LEXICON).drop("text")
 
 
 _PAGE = r"trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -296,9 +319,49 @@ def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiscan.spread(pages).where(term_match(F.col("text"), NEAR)).select("page_id")
 
 
-@_query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)1')")
+@_query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)ring|widg\\S*') AND NOT regexp_matches(p_name, '(?i)red')")
 def part_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir, "part").where(term_match(F.col("p_name"), "1")).select("p_partkey")
+    return _docs(spark, sf_dir, "part").where(term_match(F.col("p_name"), "(ring OR widg*) AND NOT red")).select("p_partkey")
+
+
+@_query(" UNION ALL ".join(f"SELECT doc_id, {k} AS id FROM documents WHERE {w}" for k, w in enumerate([*_CONDITIONS.values(), f"NOT {_m('(?i)the')}", _m(r"(?i)\bthe\w+\b")])))
+def logic_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern set with logic in it: terms are evaluated, not their relaxed patterns."""
+    lexicon = [{"term_id": i, "term_description": t} for i, t in [*LEXICON, ("not", "NOT the")]] + [{"term_id": "raw", "term_description": r"(?<i_d>\bthe\w+\b)", "term_type": "REGEX"}]
+    patterns = lexicons.pattern_set(lexicons.compile_terms(spark, lexicon))
+    return multiscan.scan_patterns(multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")), "text", patterns).select("doc_id", "id")
+
+
+_FREQUENT = "the and of to with for this that from by in is der die und le la de el en".split()
+
+
+def _pairs_of(n: int) -> list[tuple[str, str, str]]:
+    pairs = [(a, b) for i, a in enumerate(_FREQUENT) for b in _FREQUENT[i + 1 :] + _FREQUENT[:i]]
+    return [(f"{a}-{b}", f"{a} NEAR{{3}} {b}", _m(rf"(?is)(?:{a}(?:\s+\S+){{0,3}}\s+{b}|{b}(?:\s+\S+){{0,3}}\s+{a})")) for a, b in pairs[:n]]
+
+
+def _lexicon_counts(n: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = multiscan.scan(multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")), "text", [x[:2] for x in _pairs_of(n)])
+        return hits.groupBy("term_id").agg(F.count("*").alias("docs"))
+
+    return run
+
+
+for _n in (10, 50, 200):
+    QUERIES[f"lexicon_{_n}"] = _lexicon_counts(_n)
+    _ORACLES[f"lexicon_{_n}"] = "SELECT term_id, count(*) AS docs FROM (" + " UNION ALL ".join(f"SELECT '{i}' AS term_id FROM documents WHERE {w}" for i, _, w in _pairs_of(_n)) + ") GROUP BY term_id"
+
+
+_MARKED = r"'a' || chr(1) || coalesce(text, '') || chr(2) || ' with' || chr(1) || chr(10) || 'by'"
+
+
+@_query(f"SELECT doc_id, match_text, CAST(s AS INT) AS start_char, CAST(b AS INT) AS start_byte FROM ({_FOUND})".replace("chr(1)", "chr(5)").replace("chr(2)", "chr(6)").replace("\\x01\\x02", "\\x05\\x06").replace("coalesce(text, '')", f"({_MARKED})"))
+def control_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions in documents that hold control characters."""
+    text = F.concat(F.lit("a\x01"), F.coalesce("text", F.lit("")), F.lit("\x02 with\x01\nby"))
+    found = multiscan.positions(multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("text", text), "text", [("near", NEAR)])
+    return found.select("doc_id", "match_text", F.col("start").alias("start_char"), F.col("byte_start").alias("start_byte"))
 
 
 # features, noise and audits
@@ -322,14 +385,14 @@ def decided_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.decided_hits(_noise(spark))
 
 
-@_query(_values([("p1", "m1", "OR", False, "price", "price OR spread"), ("p1", "m1", "AND", True, "spam", "spam*"), ("p1", "m2", None, False, "tip", "tip*")], "process_id, message_id, feature_op, is_noise_reduction, feature_name, definition"))
+@_query(_values([("p1", "m1", "OR", False, "copper", "copper OR zinc"), ("p1", "m1", "AND", True, "kelp", "kelp*"), ("p1", "m2", None, False, "tip", "tip*")], "process_id, message_id, feature_op, is_noise_reduction, feature_name, definition"))
 def feature_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = spark.createDataFrame(
-        [("p1", "m1", [("lexicon", "1", "price", "OR", None, None), ("Composite", "2", "noise", "AND", True, [("spam", "lexicon"), ("model", "ml")]), ("ml", "3", "other", None, None, None)]), ("p1", "m2", [("lexicon", "4", "tip", None, False, [])]), ("p1", "m3", []), ("p9", "m4", [("lexicon", "1", "price", "OR", None, None)])],
+        [("p1", "m1", [("lexicon", "1", "copper", "OR", None, None), ("Composite", "2", "noise", "AND", True, [("kelp", "lexicon"), ("model", "ml")]), ("ml", "3", "other", None, None, None)]), ("p1", "m2", [("lexicon", "4", "tip", None, False, [])]), ("p1", "m3", []), ("p9", "m4", [("lexicon", "1", "copper", "OR", None, None)])],
         "process_id string, message_id string, features array<struct<type: string, id: string, name: string, feature_op: string, is_noise_reduction: boolean, sub_feature: array<struct<name: string, type: string>>>>",
     )
     master = spark.createDataFrame(
-        [("p1", "price", "lexicon", "price OR spread", None), ("p1", "tip", "lexicon", "tip*", None), ("p1", "noise", "Composite", None, [("spam", "lexicon", "spam*"), ("model", "ml", "x")]), ("p2", "price", "lexicon", "other", None)],
+        [("p1", "copper", "lexicon", "copper OR zinc", None), ("p1", "tip", "lexicon", "tip*", None), ("p1", "noise", "Composite", None, [("kelp", "lexicon", "kelp*"), ("model", "ml", "x")]), ("p2", "copper", "lexicon", "other", None)],
         "policy_engine_id string, feature_name string, feature_type string, feature_definition string, sub_features array<struct<name: string, type: string, definition: string>>",
     )
     return features.feature_view(decisions, master)
@@ -344,14 +407,63 @@ def hit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.hit_summary(hits, len(LEXICON), ["message_id"])
 
 
-@_query()
-def hit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON whose inner order has no SQL of its own here; tested by reading it back."""
-    turns = _docs(spark, sf_dir, "conversations").select(F.col("conv_id").alias("message_id"), F.concat(F.lit("attachment-"), F.col("turn").cast("string")).alias("part"), "text")
+_DETAILED = [("license", r"(?i)licens\S*"), ("near", _NEAR)]
+
+
+def _turn_matches(i: str, pattern: str) -> str:
+    parts = f"SELECT conv_id, turn, string_split_regex(regexp_replace(coalesce(text, ''), '{pattern}', chr(1) || '\\0' || chr(2), 'g'), '[\\x01\\x02]') AS p FROM conversations"
+    return f"SELECT conv_id, turn, '{i}' AS term_id, p[i] AS match_text, length(array_to_string(p[1:i-1], '')) AS s, strlen(array_to_string(p[1:i-1], '')) AS b FROM (SELECT *, unnest(generate_series(2, len(p), 2)) AS i FROM ({parts}))"
+
+
+_DETAILS = f"""SELECT conv_id AS message_id, 'attachment-' || turn AS part, term_id, match_text, b AS start_index, b + strlen(match_text) - 1 AS end_index,
+  coalesce(s - lag(s + length(match_text)) OVER (PARTITION BY conv_id, turn ORDER BY s, term_id), 0) AS delta FROM ({' UNION ALL '.join(_turn_matches(*x) for x in _DETAILED)})"""
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = multiscan.spread(_docs(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("message_id"), F.concat(F.lit("attachment-"), F.col("turn").cast("string")).alias("part"), "text")
     found = multiscan.positions(turns, "text", [("near", NEAR), ("license", "licens*")]).drop("text")
     return features.hit_details(matches.with_delta(found, ["message_id", "part"], ["start", "term_id"]))
 
 
+@_query(f"SELECT message_id, count(*) AS matches, min(start_index) AS first_start, sum(delta) AS deltas, string_agg(part || ':' || term_id || ':' || match_text, chr(10) ORDER BY part, start_index, end_index, term_id) AS listed FROM ({_DETAILS}) GROUP BY message_id")
+def hit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON read back: matches by part, in order."""
+    kind = "map<string, struct<matches: array<struct<term_id: string, match_text: string, start_index: long, end_index: long, delta: long>>>>"
+    parts = _details(spark, sf_dir).select("message_id", F.explode(F.from_json("hit_details", kind)).alias("part", "x"))
+    each = parts.select("message_id", "part", F.explode("x.matches").alias("m")).select("message_id", "part", "m.*")
+    line = F.struct("part", "start_index", "end_index", "term_id", F.concat_ws(":", "part", "term_id", "match_text").alias("line"))
+    return each.groupBy("message_id").agg(F.count("*").alias("matches"), F.min("start_index").alias("first_start"), F.sum("delta").cast("decimal(38,0)").alias("deltas"), F.array_join(F.array_sort(F.collect_list(line))["line"], "\n").alias("listed")).withColumn("deltas", F.col("deltas").cast("long"))
+
+
+@_query("SELECT doc_id AS message_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def wanted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _docs(spark, sf_dir).select(F.col("doc_id").alias("message_id"), "text")
+    return features.wanted_messages(messages, _labelled(spark, sf_dir).where("feature_name = 'toxic'")).select("message_id")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(*[F.struct(F.lit(c).alias("feature_name"), F.col(c).alias("on")) for c in ("toxic", "quality")])
+    rows = _docs(spark, sf_dir, "labels").select(F.col("doc_id").alias("message_id"), F.explode(F.filter(marks, lambda m: m["on"] == 1)).alias("m"))
+    return rows.select("message_id", "m.feature_name", F.lit("OR").alias("feature_op"), (F.col("m.feature_name") == "quality").alias("is_noise_reduction"))
+
+
+@_query("SELECT d.doc_id AS message_id, d.n_chars, concat_ws(',', CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END) AS names FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 OR toxic = 1")
+def featured_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _docs(spark, sf_dir).select(F.col("doc_id").alias("message_id"), "n_chars")
+    return features.featured_messages(messages, _labelled(spark, sf_dir)).select("message_id", "n_chars", F.array_join("features.feature_name", ",").alias("names"))
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
+def message_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of messages that were written by run; other runs' folders are not read."""
+    from termscan.sources.messages import read_messages
+    from termscan.sources.shared import new_folder
+
+    path = new_folder(spark, "runs")
+    _docs(spark, sf_dir).select("doc_id", F.col("lang").alias("RUN_DATE"), F.lit("e1").alias("PIPELINE_EXEC_ID")).write.partitionBy("RUN_DATE", "PIPELINE_EXEC_ID").parquet(path)
+    return read_messages(spark, path, "fr", "e1").select("doc_id", F.col("RUN_DATE").alias("lang"))
+
+
 def _conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir, "conversations")
     return rows.groupBy(F.col("conv_id").alias("message_id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("body"), F.sort_array(F.collect_list(F.when(F.col("turn") > 0, F.col("text")))).alias("attachments"))
@@ -391,9 +503,9 @@ _DISCLAIMED = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 
 def _licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of two terms in documents, each with whether a disclaimer holds it."""
-    docs = multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text"))
+    docs = multiscan.spread(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("spans", disclaimers.spans(F.col("text"), DISCLAIMERS))
     found = multiscan.positions(docs, "text", [("license", "license"), ("that", "that ed*")])
-    inside = disclaimers.in_disclaimer(F.col("start"), F.col("end"), disclaimers.spans(F.col("text"), DISCLAIMERS))
+    inside = disclaimers.in_disclaimer(F.col("start"), F.col("end"), F.col("spans"))
     return found.select(F.col("doc_id").alias("message_id"), "term_id", "match_text", "start", "end", inside.alias("in_disclaimer"))
 
 
@@ -447,6 +559,48 @@ def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.scan_totals(_states(spark, sf_dir))
 
 
+@_query(f"SELECT message_id, term_id, term_state, matches FROM ({_STATES}) WHERE matches > 0 AND term_state <> 'FAILED'")
+def matched_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States without a row for every message and term."""
+    lexicon = spark.createDataFrame([("license", False, False), ("that", False, True), ("bad", True, False)], "term_id string, failed boolean, post_filter boolean")
+    return report.matched_states(lexicon, _licensed(spark, sf_dir))
+
+
+@_query(f"SELECT s.message_id, s.term_id, match_text, h.start FROM ({_STATES}) s LEFT JOIN ({_LICENSED}) h ON s.message_id = h.message_id AND s.term_id = h.term_id")
+def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report written as CSV and read back."""
+    from termscan.sources.shared import new_folder
+
+    path = new_folder(spark, "report")
+    report.write_csv(scan_report(spark, sf_dir), path)
+    rows = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return rows.select(F.col(rows.columns[0]).cast("long").alias("message_id"), "term_id", "match_text", F.col("start").cast("int").alias("start"))
+
+
+_LISTED = 'Disclaimer_Text,ID\n"Sent by the ""harbour"" office,\nno reply",h1\n,h2\n  plain words  ,h3\n'
+
+
+@_query(_values([("h1", 'Sent by the "harbour" office,\nno reply'), ("h3", "plain words")], "disclaimer_id, disclaimer_text"))
+def disclaimers_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termscan.sources.shared import put_text
+
+    return disclaimers.read_csv(spark, put_text(spark, "disclaimers", _LISTED))
+
+
+@_query(_values([("1", "first part\nof two lines"), ("2", "second")], "disclaimer_id, disclaimer_text"))
+def disclaimers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclaimers.from_text(spark, "first part\nof two lines\n  \nsecond")
+
+
+_TYPED = [("a", "copper OR zinc", "NATURAL_LANGUAGE", "PASS", "(?:copper|zinc)"), ("b", "copper OR zinc", "REGEX", "PASS", "copper OR zinc"), ("c", "{broken}", "NLT", "PASS", "{broken}"), ("d", "(?P<x_1>a)b{,3}", "REGEX", "PASS", "(?P<x_1>a)b{,3}"),
+          ("e", "[a", "REGEX", "FAILED", "[a"), ("f", r"a\Q(", "REGEX", "FAILED", r"a\Q("), ("g", "x{2}{3}", "REGEX", "FAILED", "x{2}{3}")]
+
+
+@_query(_values([(t[0], t[3], t[4]) for t in _TYPED], "term_id, status, pattern"))
+def term_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicons.compile_terms(spark, lexicons.checked([{"term_id": i, "term_description": d, "term_type": k} for i, d, k, _, _ in _TYPED])).select("term_id", "status", "pattern")
+
+
 @_query("SELECT 'UP' AS status")
 def engine_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicons.engine(spark).select("status")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from termscan.plans import terms
 from termscan.plans.terms import And, AndNot, Leaf, Near, Not, Or, Raw
+from termscan.plans.validate import for_java
 
 
 def java_pattern(node) -> str:
     pattern, flags = terms.own_pattern(node)
-    return terms.inline(flags) + pattern
+    return terms.inline(flags) + for_java(pattern)
 
 
 def _exact(node, text: Column) -> Column:
@@ -64,4 +65,4 @@ def term_match(text: Column, term: str, lowered: Column | None = None) -> Column
 def relaxed_match(text: Column, term: str) -> Column:
     """Whether the term's relaxed pattern occurs: the first phase of a two-phase scan."""
     t = terms.translate(term)
-    return F.coalesce(text.rlike(terms.inline(t.flags) + t.pattern), F.lit(False))
+    return F.coalesce(text.rlike(terms.inline(t.flags) + for_java(t.pattern)), F.lit(False))

@@ -7,6 +7,7 @@ type follows from the set of categories, and says how wide a proximity gap has t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import regex
 from pyspark.sql import Column
@@ -116,21 +117,29 @@ def refine(script: str, language: str | None) -> str:
 # the same as columns
 
 
-def category_columns(text: Column) -> dict[str, Column]:
-    """A boolean for each category."""
-    shown = F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, "")
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def category_columns(shown: Column) -> dict[str, Column]:
+    """A boolean for each category; shown: the text without invisible characters."""
     return {c: shown.rlike("[" + "".join(f"\\p{{Is{s}}}" for s in names) + "]") for c, names in CATEGORIES.items()}
 
 
 def script_type(text: Column) -> Column:
-    """The script type of a text column, from one struct of booleans."""
-    has = category_columns(text)
-    any_of = lambda names: F.array_contains(F.array(*[has[c] for c in names]), True)
-    case = F.when(~any_of(has), "LATIN")
-    for name, own in _PURE:
-        case = case.when(~any_of([c for c in has if c not in own]), name)
-    case = case.when(any_of(SPACE_FREE), "MIXED_CJK").when(any_of(RIGHT_TO_LEFT) & any_of(["LATIN", "INDIC"]), "MIXED_RTL")
-    return case.otherwise("MIXED")
+    """The script type of a text column: invisible characters are taken out once, and each category is looked for once."""
+
+    def resolved(has: Column) -> Column:
+        any_of = lambda names: reduce(lambda a, b: a | b, [has[c] for c in names])
+        case = F.when(~any_of(CATEGORIES), "LATIN")
+        for name, own in _PURE:
+            case = case.when(~any_of([c for c in CATEGORIES if c not in own]), name)
+        case = case.when(any_of(SPACE_FREE), "MIXED_CJK").when(any_of(RIGHT_TO_LEFT) & any_of(["LATIN", "INDIC"]), "MIXED_RTL")
+        return case.otherwise("MIXED")
+
+    found = lambda shown: F.struct(*[has.alias(c) for c, has in category_columns(shown).items()])
+    return _once(_once(F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, ""), found), resolved)
 
 
 def has_emoji(text: Column) -> Column:
@@ -146,13 +155,35 @@ def reliable_length(text: Column) -> Column:
     return F.coalesce(F.length(text) >= 20, F.lit(False))
 
 
-#: Frequent words by language.
-STOP_WORDS = {"en": ["the", "and", "of", "to", "with", "that"], "de": ["der", "die", "und", "das", "mit", "ist"], "fr": ["le", "la", "les", "des", "est", "que"], "es": ["el", "los", "que", "una", "por", "con"]}
+#: Frequent words by language, and the language that a script alone tells.
+STOP_WORDS = {
+    "en": "the and of to with that is for it was this are".split(),
+    "de": "der die und das mit ist nicht ein eine von den auf".split(),
+    "fr": "le la les des est que une dans pour qui pas sur".split(),
+    "es": "el los que una por con las del para como pero es".split(),
+    "it": "il di che la per non una con sono della gli anche".split(),
+    "pt": "o que os uma para com dos não em as mais ao".split(),
+    "nl": "de het een van en dat niet zijn op te voor met".split(),
+    "tr": "ve bir bu için ile da de çok gibi ama ne olarak".split(),
+}
+SCRIPT_LANGUAGES = {"HANGUL": "ko", "KANA": "ja", "CJK": "zh", "THAI": "th", "HEBREW": "he", "ARABIC": "ar", "DEVANAGARI": "hi"}
 
 
 def likely_language(text: Column) -> Column:
-    """The language with most frequent words in the text, null where none has any or the text is short: a rough guess."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+")
-    counts = [F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(own))).alias("n"), F.lit(name).alias("language")) for name, own in STOP_WORDS.items()]
-    best = F.array_max(F.array(*counts))
-    return F.when(reliable_length(text) & (best["n"] > 0), best["language"])
+    """The language that the text's script tells, else the one whose frequent words make most of its words: a rough guess.
+
+    Null for short texts and where no frequent word occurs. Ties go to the first name.
+    """
+
+    def one_of(own: list[str]):
+        return lambda w: w.isin(own)
+
+    def counted(words: Column) -> Column:
+        counts = [F.struct(F.size(F.filter(words, one_of(own))).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("language")) for k, (name, own) in enumerate(sorted(STOP_WORDS.items()))]
+        return F.array_max(F.array(*counts))
+
+    def told(script: Column) -> Column:
+        return reduce(lambda c, x: c.when(script == x[0], x[1]), SCRIPT_LANGUAGES.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+
+    best = _once(_once(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+"), counted), lambda x: F.when(x["n"] > 0, x["language"]))
+    return F.when(reliable_length(text), F.coalesce(_once(script_type(text), told), best))

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from termscan.functions.scripts import SCRIPTS
 from termscan.plans import terms
-from termscan.plans.validate import problem
+from termscan.plans.validate import for_java, for_java_column, java_compiles, java_problem, problem
 
 PASS, FAILED = "PASS", "FAILED"
 STANDARD, RAW = "Standard", "NLT"
+#: Other names of the two types.
+TYPES = {"Standard": STANDARD, "NLT": RAW, "NATURAL_LANGUAGE": STANDARD, "REGEX": RAW}
 #: Declared limit of a request; not enforced.
 MAX_TERMS = 1000
-#: Terms that are compiled on the driver; larger lexicons are compiled where they lie.
-DRIVER_TERMS = 20_000
 
 RESULT = "position int, term_id string, term_description string, risk_driver_name string, term_type string, status string, pattern string, error_log string, translation_error string, flags int, post_filter boolean, warning string"
+#: Names of flags. The name of 0 stands for no flag.
+NO_FLAG = "NO_FLAG"
 FLAG_NAMES = {1: "CASELESS", 2: "DOTALL", 4: "MULTILINE", 8: "SINGLEMATCH", 16: "ALLOWEMPTY", 32: "UTF8", 64: "UCP", 128: "PREFILTER", 256: "SOM_LEFTMOST", 512: "COMBINATION", 1024: "QUIET"}
 
 
@@ -27,11 +29,11 @@ def compile_term(description: str | None, term_type: str = STANDARD) -> dict:
     """The verdict of one term. A bad term is a FAILED result, never an exception."""
     row = {"status": FAILED, "pattern": None, "error_log": None, "translation_error": None, "flags": 0, "post_filter": False, "warning": None}
     try:
-        done = terms.translate_raw(description or "") if term_type == RAW else terms.translate(description)
+        done = terms.translate_raw(description or "") if TYPES.get(term_type) == RAW else terms.translate(description)
     except terms.TermError as e:
         return row | {"translation_error": str(e)}
     row |= {"pattern": done.pattern, "flags": done.flags, "warning": "; ".join(done.warnings) or None}
-    if error := problem(done.pattern):
+    if error := problem(done.pattern) or java_problem(terms.inline(done.flags) + for_java(done.pattern), done.pattern):
         return row | {"error_log": error}
     return row | {"status": PASS, "post_filter": done.post_filter}
 
@@ -45,8 +47,8 @@ def checked(lexicon: Iterable[dict]) -> list[dict]:
         for name in ("term_id", "term_description"):
             if not (t.get(name) or "").strip():
                 raise ValueError(f"terms[{i}].{name} must not be blank")
-        if t.get("term_type", STANDARD) not in (STANDARD, RAW):
-            raise ValueError(f"terms[{i}].term_type must be {STANDARD} or {RAW}")
+        if (t.get("term_type") or STANDARD) not in TYPES:
+            raise ValueError(f"terms[{i}].term_type must be one of {', '.join(TYPES)}")
     return rows
 
 
@@ -54,7 +56,7 @@ def compile_terms(spark: SparkSession, lexicon: Iterable[dict]) -> DataFrame:
     """Results in the order of the request; position is the expression id, with gaps where terms fail."""
     rows = []
     for i, t in enumerate(lexicon):
-        kind = t.get("term_type") or STANDARD
+        kind = TYPES.get(t.get("term_type"), STANDARD)
         done = compile_term(t.get("term_description"), kind)
         rows.append((i, t.get("term_id"), t.get("term_description"), t.get("risk_driver_name"), kind, *(done[k] for k in ("status", "pattern", "error_log", "translation_error", "flags", "post_filter", "warning"))))
     return spark.createDataFrame(rows, RESULT)
@@ -65,10 +67,24 @@ def compile_frame(lexicon: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = pd.DataFrame([compile_term(d, k or STANDARD) for d, k in zip(frame["term_description"], frame["term_type"], strict=True)], columns=["status", "pattern", "error_log", "translation_error", "flags", "post_filter", "warning"])
+            frame["term_type"] = [TYPES.get(k, STANDARD) for k in frame["term_type"]]
+            done = pd.DataFrame([compile_term(d, k) for d, k in zip(frame["term_description"], frame["term_type"], strict=True)], columns=["status", "pattern", "error_log", "translation_error", "flags", "post_filter", "warning"])
             yield pd.concat([frame.reset_index(drop=True), done], axis=1)
 
-    return lexicon.select("position", "term_id", "term_description", "risk_driver_name", "term_type").mapInPandas(run, RESULT)
+    return lexicon.select("position", "term_id", "term_description", "risk_driver_name", "term_type").mapInPandas(run, RESULT).transform(_by_java)
+
+
+def _by_java(results: DataFrame) -> DataFrame:
+    """results with those FAILED that Java does not compile."""
+    bad = (F.col("status") == PASS) & ~java_compiles(_regex())
+    error = F.concat(F.lit("Pattern compile error: not a pattern [pattern: "), F.substring("pattern", 1, 100), F.when(F.length("pattern") > 100, "…").otherwise(""), F.lit("]"))
+    return results.withColumns({"status": F.when(bad, FAILED).otherwise(F.col("status")), "error_log": F.when(bad, error).otherwise(F.col("error_log")), "post_filter": ~bad & F.col("post_filter")})
+
+
+def _regex() -> Column:
+    """The pattern with its flags, as Java reads it."""
+    letters = F.concat(*[F.when(F.col("flags").bitwiseAND(bit) != 0, letter).otherwise("") for bit, letter in ((1, "i"), (2, "s"), (32, "u"), (64, "U"))])
+    return F.concat(F.when(letters != "", F.concat(F.lit("(?"), letters, F.lit(")"))).otherwise(""), for_java_column(F.col("pattern")))
 
 
 def summary(results: DataFrame, rule: Column | str = "rule") -> DataFrame:
@@ -90,10 +106,9 @@ def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
 
 
 def pattern_set(results: DataFrame) -> DataFrame:
-    """The terms that can be scanned for: id, pattern, flags, regex."""
-    prefix = F.concat(F.when(F.col("flags").bitwiseAND(1) != 0, "i").otherwise(""), F.when(F.col("flags").bitwiseAND(2) != 0, "s").otherwise(""), F.when(F.col("flags").bitwiseAND(32) != 0, "u").otherwise(""), F.when(F.col("flags").bitwiseAND(64) != 0, "U").otherwise(""))
-    rows = results.where(F.col("status") == PASS).select(F.col("position").alias("id"), "term_id", "pattern", "flags", "post_filter")
-    return rows.withColumn("regex", F.concat(F.when(prefix != "", F.concat(F.lit("(?"), prefix, F.lit(")"))).otherwise(""), F.col("pattern")))
+    """The terms that can be scanned for: id, term_id, term_description, term_type, pattern, flags, post_filter, regex."""
+    rows = results.where(F.col("status") == PASS).select(F.col("position").alias("id"), "term_id", "term_description", "term_type", "pattern", "flags", "post_filter")
+    return rows.withColumn("regex", _regex())
 
 
 def database_note(results: DataFrame) -> DataFrame:
@@ -102,11 +117,17 @@ def database_note(results: DataFrame) -> DataFrame:
     return results.agg((n > 0).alias("has_database"), F.when(n == 0, "No term compiled, so there is no database").alias("note"), n.alias("expressions"))
 
 
+def flag_bits(names: Column) -> Column:
+    """The bitmask of an array of flag names; unknown names count for nothing."""
+    bits = F.create_map(*[F.lit(x) for b, n in FLAG_NAMES.items() for x in (n, b)])
+    return F.aggregate(names, F.lit(0), lambda acc, n: acc.bitwiseOR(F.coalesce(bits[n], F.lit(0))))
+
+
 def flag_names(flags: Column) -> Column:
-    """The names of a bitmask's flags, unknown bits as UNKNOWN(0x..)."""
+    """The names of a bitmask's flags, unknown bits as UNKNOWN(0x..); of 0 that of no flag."""
     known = [F.when(flags.bitwiseAND(b) != 0, n) for b, n in FLAG_NAMES.items()]
     rest = flags.bitwiseAND(F.lit(~sum(FLAG_NAMES)))
-    return F.filter(F.array(*known, F.when(rest != 0, F.concat(F.lit("UNKNOWN(0x"), F.lower(F.hex(rest)), F.lit(")")))), lambda x: x.isNotNull())
+    return F.filter(F.array(F.when(flags == 0, NO_FLAG), *known, F.when(rest != 0, F.concat(F.lit("UNKNOWN(0x"), F.lower(F.hex(rest)), F.lit(")")))), lambda x: x.isNotNull())
 
 
 def engine(spark: SparkSession) -> DataFrame:

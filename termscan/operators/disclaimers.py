@@ -15,6 +15,15 @@ def from_text(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "t string").select(F.posexplode(F.split("t", r"\n\s*\n")).alias("i", "p")).where("trim(p) <> ''").select((F.col("i") + 1).cast("string").alias("disclaimer_id"), F.trim("p").alias("disclaimer_text"))
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """disclaimer_id and disclaimer_text of CSV files with a header (id, disclaimer_text, in any order); blank texts are left out."""
+    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, enforceSchema=False)
+    names = {c.strip("\ufeff ").lower(): c for c in rows.columns}
+    if not {"id", "disclaimer_text"} <= names.keys():
+        raise ValueError(f"columns id and disclaimer_text are needed, there are {', '.join(rows.columns)}")
+    return rows.select(F.trim(F.col(f"`{names['id']}`")).alias("disclaimer_id"), F.trim(F.col(f"`{names['disclaimer_text']}`")).alias("disclaimer_text")).where("disclaimer_text <> ''")
+
+
 def normalised(text: Column) -> Column:
     """Without tags, entities decoded, runs of white space as one space."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")

@@ -1,10 +1,15 @@
-"""Per-message feature decisions: the view of features to scan, noise reduction, hit summaries and audits."""
+"""Per-message feature decisions: the view of features to scan, noise reduction, hit summaries, audits and output tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The output tables' columns.
+HIT_SUMMARY = "message_id string, run_date date, sent_date date, policy_engine_id string, pipeline_exec_id string, feature_name string, feature_type string, is_noise_reduction boolean, lexicon_terms string, regex_pattern string, total_count_of_terms int, hit_count_of_terms int, hit_details string, process_ts timestamp"
+STAGE_AUDIT = "pipeline_exec_id string, process_id string, stage_name string, stage_status string, records_read long, records_written long, start_ts timestamp, end_ts timestamp, error_message string"
+RECORD_AUDIT = "pipeline_exec_id string, message_id string, status string, features_applied string, process_ts timestamp"
+
 #: Feature masters are small tables of definitions; they are broadcast up to this many rows.
 BROADCAST_MASTER = 100_000
 
@@ -45,6 +50,11 @@ def grouped_features(features: DataFrame) -> DataFrame:
     return features.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("feature_name", "feature_op", "is_noise_reduction"))).alias("features"))
 
 
+def featured_messages(messages: DataFrame, features: DataFrame) -> DataFrame:
+    """Messages that have features, with all of theirs in one array."""
+    return messages.join(grouped_features(features), "message_id")
+
+
 def noise_decision(features: DataFrame) -> DataFrame:
     """Whether a message is skipped as noise.
 
@@ -73,9 +83,11 @@ def hit_summary(hits: DataFrame, total_terms: int, keys: list[str]) -> DataFrame
 
 def hit_details(hits: DataFrame) -> DataFrame:
     """Each message's matches as JSON by part. hits: message_id, part, term_id, match_text, byte_start, byte_end, delta."""
-    match = F.struct("byte_start", "byte_end", "term_id", "match_text", "delta")
-    by_part = hits.groupBy("message_id", "part").agg(F.array_sort(F.collect_list(match)).alias("matches"))
-    return by_part.groupBy("message_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("part", "matches"))))).alias("hit_details"))
+    match = F.struct(F.col("byte_start").alias("start_index"), F.col("byte_end").alias("end_index"), "term_id", "match_text", "delta")
+    by_part = hits.groupBy("message_id", "part").agg(F.array_sort(F.collect_list(match)).alias("found"))
+    ordered = F.transform("found", lambda m: F.struct(m["term_id"].alias("term_id"), m["match_text"].alias("match_text"), m["start_index"].alias("start_index"), m["end_index"].alias("end_index"), m["delta"].alias("delta")))
+    by_part = by_part.select("message_id", F.struct("part", F.struct(ordered.alias("matches")).alias("x")).alias("entry"))
+    return by_part.groupBy("message_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list("entry")))).alias("hit_details"))
 
 
 def record_audit(messages: DataFrame, decisions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -89,3 +101,21 @@ def stage_audit(records: DataFrame, stage: str) -> DataFrame:
     """Counts of a stage and its state: SUCCESS, PARTIAL or FAILED."""
     n, bad = F.count("*"), F.count_if(F.col("status") == "FAILED")
     return records.agg(F.lit(stage).alias("stage"), n.alias("records"), bad.alias("failed"), F.when(bad == 0, "SUCCESS").when(bad < n, "PARTIAL").otherwise("FAILED").alias("status"))
+
+
+def shaped(rows: DataFrame, schema: str, **values: Column | object) -> DataFrame:
+    """rows as an output table: its columns in order and type, from `values`, else from rows, else null."""
+    given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
+    columns = []
+    for field in schema.split(", "):
+        name, kind = field.split(" ")
+        value = given[name] if name in given else F.col(name) if name in rows.columns else F.lit(None)
+        columns.append(value.cast(kind).alias(name))
+    return rows.select(*columns)
+
+
+def write_outputs(path: str, hits: DataFrame, stages: DataFrame, records: DataFrame) -> None:
+    """The three output tables: lexicon-hit-summary by run date (the runs in hits are replaced), and the two audits, appended."""
+    shaped(hits, HIT_SUMMARY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(f"{path}/lexicon-hit-summary")
+    shaped(stages, STAGE_AUDIT).write.mode("append").parquet(f"{path}/pipeline_stage_audit")
+    shaped(records, RECORD_AUDIT).write.mode("append").parquet(f"{path}/pipeline_record_audit")

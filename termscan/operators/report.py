@@ -29,6 +29,21 @@ def message_totals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("message_id").agg(F.count("*").alias("total_matches"), F.count_if(~F.col("in_disclaimer")).alias("alert_matches"))
 
 
+def matched_states(lexicon: DataFrame, hits: DataFrame) -> DataFrame:
+    """The states of the messages and terms that hit, without a row for every message and term: for large lexicons.
+
+    lexicon: term_id, failed, post_filter. The others are NO HIT, or FAILED where the lexicon says so.
+    """
+    counts = hits.groupBy("message_id", "term_id").agg(F.count("*").alias("matches"), F.bool_and("in_disclaimer").alias("only"))
+    state = F.when(F.col("only"), "DISCLAIMER ONLY").when(F.col("post_filter"), "AND MATCH").otherwise("MATCHED")
+    return counts.join(lexicon.where("not failed"), "term_id").select("message_id", "term_id", state.alias("term_state"), "matches")
+
+
+def timed(totals: DataFrame, began: float, ended: float) -> DataFrame:
+    """totals with scan_duration_ms, of a scan that began and ended at these seconds."""
+    return totals.withColumn("scan_duration_ms", F.lit(round((ended - began) * 1000)).cast("long"))
+
+
 def scan_totals(states: DataFrame) -> DataFrame:
     return states.agg(F.countDistinct("message_id").alias("total_messages"), F.countDistinct("term_id").alias("total_terms"), F.countDistinct(F.when(F.col("matches") > 0, F.col("term_id"))).alias("matched_terms"), F.countDistinct(F.when(F.col("term_state") == "FAILED", F.col("term_id"))).alias("failed_terms"))
 

@@ -241,6 +241,21 @@ def translate_raw(pattern: str) -> Translation:
     return Translation(pattern, scripts.SCRIPTS[scripts.detect(pattern)].flags, False, tree=Raw(pattern))
 
 
+def recommended_flags(*texts: str) -> int:
+    """The flags of the texts' common script."""
+    return scripts.SCRIPTS[scripts.detect(*texts)].flags
+
+
+def near_pattern(left: str, right: str, n: int) -> str:
+    """Two literals within n words of each other, in any order."""
+    return _Writer().write(Near(_leaf(left), _leaf(right), n, True))
+
+
+def followed_pattern(left: str, right: str, n: int) -> str:
+    """The second literal within n words after the first."""
+    return _Writer().write(Near(_leaf(left), _leaf(right), n, False))
+
+
 def inline(flags: int, dialect: str = "java") -> str:
     """Flags as an inline group. RE2 always reads Unicode, and means something else by U."""
     letters = "i" * bool(flags & CASELESS) + "s" * bool(flags & DOTALL)

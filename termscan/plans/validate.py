@@ -1,10 +1,17 @@
-"""What a pattern may hold: the common subset that a streaming multi-pattern matcher accepts, stricter than Java's."""
+"""What a pattern may hold: the common subset that a streaming multi-pattern matcher accepts, and that Java compiles.
+
+`for_java` writes a pattern as Java reads it; what is checked is what scans use.
+"""
 
 from __future__ import annotations
 
 import re
 
 import regex
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 #: Constructs that are refused, with the reason given.
 REFUSED = [
@@ -41,9 +48,42 @@ def problem(pattern: str | None) -> str | None:
         else:
             if code.fullmatch(""):
                 reason = "Pattern matches the empty string"
-    return reason and f"Pattern compile error: {reason} [pattern: {pattern[:100]}{'…' if len(pattern) > 100 else ''}]"
+    return reason and refusal(reason, pattern)
+
+
+#: Braces that are no quantifier are literal in the language, but an error in Java; nor has Java P in names of groups, or
+#: underscores. No name is referred to, since back-references are refused.
+_REWRITTEN = [(r"(?<!\\)(?<!\\[xpP])\{(?!\d+(?:,\d*)?\})", r"\\{"), (r"(?<!\\)\(\?P?<(?![=!])[^>]*>", "(")]
 
 
 def for_java(pattern: str) -> str:
-    """Braces that are no quantifier are literal in the language, but an error in Java."""
-    return re.sub(r"(?<!\\)(?<!\\x)(?<!\\p)(?<!\\P)\{(?!\d+(?:,\d*)?\})", r"\\{", pattern)
+    for look, put in _REWRITTEN:
+        pattern = re.sub(look, put, pattern)
+    return pattern
+
+
+def for_java_column(pattern: Column) -> Column:
+    for look, put in _REWRITTEN:
+        pattern = F.regexp_replace(pattern, look, put.replace("(", "\\("))
+    return pattern
+
+
+def refusal(reason: str, pattern: str) -> str:
+    return f"Pattern compile error: {reason} [pattern: {pattern[:100]}{'…' if len(pattern) > 100 else ''}]"
+
+
+def java_problem(java: str, pattern: str) -> str | None:
+    """Why Java does not compile it, asked on the driver; None where there is no session to ask."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return None
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(java)
+    except (PySparkException, Py4JJavaError) as e:
+        return refusal(str(e).split("\n")[0], pattern)
+    return None
+
+
+def java_compiles(java: Column) -> Column:
+    """Whether Java compiles a column's patterns; asked where the rows are."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java).isNotNull()

@@ -10,7 +10,10 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termscan.operators.compile import flag_names
 
 MOST_EXPRESSIONS = 1_000_000
 ROWS = "path string, id int, pattern string, flags array<int>, block_start long, block_bytes long, trailing_bytes long, error string"
@@ -76,3 +79,22 @@ def read_pattern_files(spark: SparkSession, path: str) -> DataFrame:
             yield done.astype({c: "Int64" for c in ("id", "block_start", "block_bytes", "trailing_bytes")})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ROWS)
+
+
+def _named() -> Column:
+    bits = F.aggregate(F.coalesce("flags", F.array().cast("array<int>")), F.lit(0), lambda a, b: a.bitwiseOR(b))
+    return F.struct("id", "pattern", F.col("flags").alias("flags"), flag_names(bits).alias("flag_names"))
+
+
+def dump_json(files: DataFrame) -> DataFrame:
+    """path and json: each file's expressions with the names of their flags, or its error."""
+    first = F.first("block_start", True).alias("block_start"), F.first("block_bytes", True).alias("block_bytes"), F.first("trailing_bytes", True).alias("trailing_bytes"), F.first("error", True).alias("error")
+    each = files.withColumn("e", F.when(F.col("error").isNull(), _named()))
+    done = each.groupBy("path").agg(F.count("e").alias("expression_count"), *first, F.array_sort(F.collect_list("e")).alias("expressions"))
+    return done.select("path", F.to_json(F.struct("expression_count", "block_start", "block_bytes", "trailing_bytes", "error", "expressions")).alias("json"))
+
+
+def dump_text(files: DataFrame) -> DataFrame:
+    """path and line: one line for each expression, as a person reads it."""
+    line = F.concat_ws("  ", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.array_join(_named()["flag_names"], "|"), "pattern")
+    return files.select("path", F.when(F.col("error").isNull(), line).otherwise(F.concat(F.lit("error: "), "error")).alias("line"))

@@ -18,8 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that does not exist yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def put_text(spark: SparkSession, name: str, text: str) -> str:
     """Writes one text file into a new shared folder, and returns the folder's path."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
     return path

@@ -30,10 +30,15 @@ def test_oracle(spark, duck, name):
     assert rows == sorted(map(tuple, expected.select(*[f'"{c}"' for c in columns]).fetchall()), key=repr)
 
 
-def test_hit_details(spark):
-    for r in catalogue.hit_details(spark, "/root/testdata/sf0.01").collect():
+def test_hit_details_shape(spark):
+    for r in catalogue._details(spark, "/root/testdata/sf0.01").collect():
         for part, found in json.loads(r.hit_details).items():
-            assert part.startswith("attachment-") and found and all(m["byte_end"] >= m["byte_start"] for m in found)
+            assert part.startswith("attachment-") and found["matches"] and all(list(m) == ["term_id", "match_text", "start_index", "end_index", "delta"] for m in found["matches"])
+
+
+@pytest.mark.parametrize("name", ["part_scan", "wanted_messages", "featured_messages", "hit_details", "matched_states", "control_offsets"])
+def test_not_empty(spark, name):
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1
 
 
 def test_flagship(spark):
