@@ -56,6 +56,8 @@ PERCENT = 75
 COUNTED, OFTEN, FREQUENT, SHARED = 3_000_000, 3, 30, 1_000_000
 #: Longs of a set's bitmap.
 BITMAP = 16
+#: Groups of a list up to which bitmaps are left to the narrowing of pairs: they would weigh more than the pairs.
+SHORT = 4
 #: Listed shingles before a list's that are looked at for an earlier one that two sets share.
 EARLIER = 4
 #: Keys of documents to fetch that are broadcast at most: 16 bytes each.
@@ -325,7 +327,6 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     classes = store.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     whole = store.put(sketch.select("doc_id", "same", "n", "digest"), "members")
     store.drop("sketches")
-    enough = F.expr(f"cast(ceil({percent} * (n + m) / {100 + percent}) as long)")  # an intersection that a link needs at least
 
     # 3. groups and posting lists
     several = classes.groupBy("n", "alike").agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1")
@@ -339,8 +340,8 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     own = listed.select("gid", "n", F.expr(f"size(listed) / {_prefix_sql('n', percent)}").alias("share"), F.explode("listed.token").alias("token"))
     hubs = own.groupBy("token").agg(F.max(F.struct("share", F.expr("-gid as earliest"), "n")).alias("hub")).select("token", F.expr("-hub.earliest as hub"), F.col("hub.n").alias("m"))
     agreed = own.join(hubs, "token").where("gid <> hub").groupBy(F.col("hub").alias("a"), F.col("gid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    possible = F.greatest(F.expr(f"n - {_prefix_sql('n', percent)} + c"), F.expr(f"m - {_prefix_sql('m', percent)} + c")) >= enough
-    star = agreed.where(possible).where(f"100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+    possible = F.greatest(F.expr(f"n - {_prefix_sql('n', percent)} + c"), F.expr(f"m - {_prefix_sql('m', percent)} + c")) >= F.expr(_enough_sql("n", "m", percent))
+    star = agreed.where(possible).where(_alike_sql("n", "m", percent)).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
     pairs = store.put(star.unionByName(followers.toDF("a", "b")), "pairs1")
     roots = components(_linked(rows, classes, pairs, store, "links1", words, percent), store, "cc1")
 
@@ -349,13 +350,13 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     placed = store.put(placed, "placed")
     spread = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
     listed = store.put(listed.join(spread, "gid"), "spread")
-    open_ = store.put(listed.select("lo", "hi", F.explode("listed.token").alias("token")).groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token"), "open")
+    open_ = store.put(listed.select("lo", "hi", F.explode("listed.token").alias("token")).groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df"), "open")
     marked = listed.select("*", F.posexplode("listed").alias("i", "x")).selectExpr("x.token", "gid as cid", "n", "lo", "hi", "size", "x.at", "i", *_before("listed", ".token"))
-    marked = marked.join(open_, "token", "left_semi").join(classes.select("cid", "bits"), "cid").withColumn("bits", F.expr("if(size = 1, bits, null)")).drop("size")
+    marked = marked.join(open_, "token").join(classes.select("cid", "bits"), "cid").withColumn("bits", F.expr(f"if(size = 1 and df > {SHORT}, bits, null)")).drop("size", "df")
     marked = store.put(marked, "marked")
-    apart = _open_pairs(marked, percent, enough, "a < b and not (lo = hi and lo_b = hi_b and lo = lo_b)")
+    apart = _open_pairs(marked, percent, "x.cid < y.cid and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
     parted = placed.join(spread.where("lo < hi").select("gid"), "gid", "left_semi").join(classes.select("cid", "n", "bits"), "cid")  # groups in several components
-    parted = parted.join(parted.toDF("b", "gid", "root_b", "m", "bits_b"), "gid").where("root < root_b").where(_bits_allow(enough)).select(F.col("cid").alias("a"), "b")
+    parted = parted.alias("x").join(parted.alias("y"), F.expr(f"x.gid = y.gid and x.root < y.root and ({_bits_sql('x', 'y', _enough_sql('x.n', 'y.n', percent))})")).selectExpr("x.cid as a", "y.cid as b")
     one, other = placed.toDF("x", "a", "root_a"), placed.toDF("y", "b", "root_b")
     expanded = store.put(apart, "apart").join(one, "a").join(other, "b").where("root_a <> root_b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     rest = store.put(expanded.unionByName(parted), "pairs2")
@@ -368,7 +369,7 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     named = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "named")
     named = named.join(named.groupBy("top").agg(F.min("least").alias("component_id")), "top")
     if count:
-        degree = _degrees(rows, classes, final, store, words, percent, enough)
+        degree = _degrees(rows, classes, final, store, words, percent)
         named = named.join(degree, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     else:
         named = named.withColumn("n_links", F.lit(None).cast("long"))
@@ -378,15 +379,15 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     return linked.unionByName(empty)
 
 
-def _degrees(rows: DataFrame, classes: DataFrame, final: DataFrame, store: Scratch, words: int, percent: int, enough) -> DataFrame:
+def _degrees(rows: DataFrame, classes: DataFrame, final: DataFrame, store: Scratch, words: int, percent: int) -> DataFrame:
     """cid and n_links, the number of other classes that it links with, of the classes that link."""
     several = final.groupBy("top").agg(F.count("*").alias("size")).where("size > 1").select("top")
     linked = final.join(several, "top").repartitionByRange("top", "cid").sortWithinPartitions("top", "cid")
     seats = store.put(linked.select("cid", F.monotonically_increasing_id().alias("seat"), "top"), "seats")
     marked = classes.select("cid", "n", "bits", "prefix").join(seats, "cid").select("*", F.posexplode("prefix").alias("at", "token"))
     marked = store.put(marked.selectExpr("token", "cid", "n", "seat", "top", "at", "at as i", *_before("prefix", "", "at"), "bits"), "marked-all")
-    blocks = (F.expr(f"cast(floor(seat / {BLOCK}) as long) as x"), F.expr(f"cast(floor(seat_b / {BLOCK}) as long) as y"))
-    pairs = store.put(_open_pairs(marked, percent, enough, "top = top_b and seat < seat_b", *blocks), "pairs-all")
+    blocks = [f"cast(floor({side}.seat / {BLOCK}) as long) as {side}" for side in ("x", "y")]
+    pairs = store.put(_open_pairs(marked, percent, "x.top = y.top and x.seat < y.seat", *blocks), "pairs-all")
     store.drop("marked-all")
     needs = store.put(pairs.selectExpr("x", "y", "a as cid").unionByName(pairs.selectExpr("x", "y", "b as cid")).distinct(), "needs")
     sets = store.put(_fetched(rows, classes, needs.select("cid").distinct(), words), "sets-all")
@@ -417,20 +418,31 @@ def _before(items: str, field: str, i: str = "i") -> list[str]:
     return [f"{items}[greatest({i} - {k}, 0)]{field} as p{k}" for k in range(1, EARLIER + 1)]
 
 
-def _open_pairs(marked: DataFrame, percent: int, enough, which: str, *more) -> DataFrame:
-    """The pairs a, b for which `which` holds that the filters leave, each from few of the lists that both are in."""
-    other = marked.select("token", *[F.col(c).alias({"cid": "b", "n": "m"}.get(c, f"{c}_b")) for c in marked.columns if c != "token"])
-    earlier = " or ".join(f"p{i} = p{j}_b" for i in range(1, EARLIER + 1) for j in range(1, EARLIER + 1))
-    met = marked.withColumnRenamed("cid", "a").join(other, "token")
-    met = met.where(f"{which} and 100 * least(n, m) >= {percent} * greatest(n, m)").where(F.expr("least(n - at, m - at_b)") >= enough)
-    met = met.where(_bits_allow(enough)).where(f"i = 0 or i_b = 0 or not ({earlier})")
-    return met.select("a", "b", *more).distinct()
+def _open_pairs(marked: DataFrame, percent: int, which: str, *more) -> DataFrame:
+    """The pairs a, b of rows x, y for which `which` holds that the filters leave, each from few of the lists that both are in.
+
+    Both sides are the same table, so it is dealt out once.
+    """
+    earlier = " or ".join(f"x.p{i} = y.p{j}" for i in range(1, EARLIER + 1) for j in range(1, EARLIER + 1))
+    enough = _enough_sql("x.n", "y.n", percent)
+    position = f"{_alike_sql('x.n', 'y.n', percent)} and least(x.n - x.at, y.n - y.at) >= {enough}"
+    on = f"x.token = y.token and {which} and {position} and ({_bits_sql('x', 'y', enough)}) and (x.i = 0 or y.i = 0 or not ({earlier}))"
+    return marked.alias("x").join(marked.alias("y"), F.expr(on)).selectExpr("x.cid as a", "y.cid as b", *more).distinct()
+
+
+def _enough_sql(n: str, m: str, percent: int) -> str:
+    """An intersection that a link of sets of n and m shingles needs at least."""
+    return f"cast(ceil({percent} * ({n} + {m}) / {100 + percent}) as long)"
+
+
+def _alike_sql(n: str, m: str, percent: int) -> str:
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def _bits_allow(enough):
+def _bits_sql(x: str, y: str, enough: str) -> str:
     """Whether the bitmaps, where both are known, leave a link possible."""
-    lacking = lambda one, other: " + ".join(f"bit_count({one}[{k}] & ~{other}[{k}])" for k in range(BITMAP))
-    return F.expr("bits is null or bits_b is null") | (F.least(F.expr(f"n - ({lacking('bits', 'bits_b')})"), F.expr(f"m - ({lacking('bits_b', 'bits')})")) >= enough)
+    lacking = lambda one, other: " + ".join(f"bit_count({one}.bits[{k}] & ~{other}.bits[{k}])" for k in range(BITMAP))
+    return f"{x}.bits is null or {y}.bits is null or least({x}.n - ({lacking(x, y)}), {y}.n - ({lacking(y, x)})) >= {enough}"
 
 
 def _prefix_sql(n: str, percent: int) -> str:
