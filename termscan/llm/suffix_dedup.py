@@ -17,7 +17,7 @@ Partial matches. The contexts of a gram are brought together, one for each diffe
 compared; grams with very many different contexts have theirs compared by digest instead, in as many tasks as needed.
 So no group of copies ever meets in one task: copies have one context, and are only counted.
 
-Null texts count as empty. Rows that share doc_id and text are rows of their own, and repeat each other. Extra columns
+Null texts count as empty; very long texts are read whole. Rows that share doc_id and text are rows of their own, and repeat each other. Extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -35,7 +35,8 @@ from ._common import Scratch, keyed, out, raw, sliced
 
 LENGTH = 200
 GRAM = 32
-BATCHES = 2
+#: Batches that a corpus is taken in. Each is scanned against all levels, so many batches cost a scan of the family each.
+BATCHES = 4
 #: A gram's different contexts that are compared in one task (some 5 MB); grams with more have their strings compared by digest.
 TOGETHER = 16_384
 
@@ -115,10 +116,15 @@ def suffixes(rows: DataFrame, length: int) -> DataFrame:
 
 
 class SuffixFamily:
-    """Levels of suffix arrays that grow by batches; `whole` and `grams` gather the matches found so far."""
+    """Levels of suffix arrays that grow by batches; `whole` and `grams` gather the matches found so far.
+
+    `save` keeps the levels in a folder; `load` goes on with them, so that a later batch meets all earlier ones.
+    """
 
     def __init__(self, store: Scratch):
-        self.store, self.levels, self.turn = store, [], 0
+        self.store, self.turn = store, 0
+        #: Size in batches, array and the name of its table, the largest level first.
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.whole: list[DataFrame] = []
         self.grams: list[DataFrame] = []
 
@@ -129,20 +135,38 @@ class SuffixFamily:
         array = batch.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"))
         array = put(array.sortWithinPartitions("gram", "c1", "c2"), f"array{turn}")
         scan = array.withColumn("new", F.lit(1))
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             scan = scan.unionByName(level.withColumn("new", F.lit(0)))
         if self.levels:
             scan = put(scan.groupBy("gram", "c1", "c2").agg(F.sum("n").alias("n"), F.max("new").alias("new")).sortWithinPartitions("gram", "c1", "c2"), f"scan{turn}")
         self.whole.append(put(scan.where("n > 1 and new = 1").select("gram", "c1", "c2"), f"whole{turn}"))
         met = scan.groupBy("gram").agg(F.count("*").alias("contexts"), F.max("new").alias("new")).where("contexts > 1 and new = 1")
         self.grams.append(put(met.select("gram", "contexts"), f"grams{turn}"))
-        joined, size, used = array, 1, 0
+        joined, size, name, gone = array, 1, f"array{turn}", []
         while self.levels and self.levels[-1][0] == size:
-            joined, size, used = joined.unionByName(self.levels.pop()[1]), size * 2, used + 1
-        if used:
-            joined = scan.drop("new") if not self.levels else joined.groupBy("gram", "c1", "c2").agg(F.sum("n").alias("n")).sortWithinPartitions("gram", "c1", "c2")
-            joined = joined if not self.levels else put(joined, f"level{turn}")
-        self.levels.append((size, joined))
+            _, level, old = self.levels.pop()
+            joined, size, gone = joined.unionByName(level), size * 2, [*gone, old]
+        if gone and not self.levels:  # the scan is the merge of all levels
+            joined, name, gone = scan.drop("new"), f"scan{turn}", [*gone, name]
+        else:
+            if gone:
+                joined = put(joined.groupBy("gram", "c1", "c2").agg(F.sum("n").alias("n")).sortWithinPartitions("gram", "c1", "c2"), f"level{turn}")
+                name, gone = f"level{turn}", [*gone, name]
+            gone += [f"scan{turn}"]
+        self.levels.append((size, joined, name))
+        self.store.drop(*gone)
+
+    def save(self, path: str) -> None:
+        """Writes the levels as tables whose names are their places and sizes."""
+        for k, (size, level, _) in enumerate(self.levels):
+            level.write.mode("overwrite").parquet(f"{path}/levels/place={k}/size={size}")
+
+    def load(self, path: str) -> None:
+        """Takes the levels that `save` wrote."""
+        known = self.store.spark.read.parquet(f"{path}/levels")
+        for r in known.select("place", "size").distinct().orderBy("place").collect():  # one row for each level
+            level = self.store.put(known.where(f"place = {r['place']}").drop("place", "size").sortWithinPartitions("gram", "c1", "c2"), f"kept{r['place']}")
+            self.levels.append((r["size"], level, f"kept{r['place']}"))
 
     def matches(self) -> tuple[DataFrame, DataFrame]:
         """Contexts that occur more than once, and grams with more than one context."""
@@ -260,7 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         family.add(entries.where(F.col("batch") == k).drop("batch"))
     whole, grams = family.matches()
     whole, grams = store.put(whole, "whole"), store.put(grams, "grams")
-    store.drop(*(f"{name}{k + 1}" for k in range(batches) for name in ("array", "scan", "level", "whole", "grams")))
+    store.drop(*(f"{name}{k + 1}" for k in range(batches) for name in ("whole", "grams")), *(name for *_, name in family.levels))
     matched = entries.drop("batch").join(grams, "gram", "left").join(whole.withColumn("again", F.lit(True)), ["gram", "c1", "c2"], "left").where("contexts is not null or again")
     matched = store.put(matched, "matched")
     store.drop("suffixes")

@@ -130,6 +130,31 @@ def test_suffix_dedup(spark, rows):
         assert collections.Counter(map(tuple, got.collect())) == collections.Counter(expected)
 
 
+def test_suffix_family_grows_by_batches(spark, rows, tmp_path):
+    keyed = table(spark, rows).selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) same")
+    entries = Scratch(spark, "entries").put(suffix_dedup.suffixes(keyed, 200), "all")
+    family, sizes = suffix_dedup.SuffixFamily(Scratch(spark, "family")), []
+    part = lambda k: entries.where(f"pmod(hash(doc_id, same), 7) = {k}")
+    for k in range(7):
+        if k == 5:  # another run goes on with what was kept
+            family.save(str(tmp_path / "kept"))
+            before, family = family, suffix_dedup.SuffixFamily(Scratch(spark, "family"))
+            family.load(str(tmp_path / "kept"))
+            family.whole, family.grams, family.turn = before.whole, before.grams, before.turn
+        family.add(part(k))
+        sizes.append([size for size, *_ in family.levels])
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+    counted = collections.Counter(tuple(r) for r in entries.select("gram", "c1", "c2").collect())
+    got = collections.Counter()
+    for _, level, _ in family.levels:
+        got.update({(r.gram, r.c1, r.c2): r.n for r in level.collect()})
+    assert got == counted
+    whole, grams = family.matches()
+    assert {tuple(r) for r in whole.collect()} == {k for k, n in counted.items() if n > 1}
+    contexts = collections.Counter(g for g, *_ in counted)
+    assert {r.gram for r in grams.collect()} == {g for g, n in contexts.items() if n > 1}
+
+
 def test_token_counts(spark, rows):
     from tokenizers import Tokenizer
 
@@ -218,6 +243,9 @@ def test_decontamination(spark, block):
         expected[i, len(words), len(hit), len(found), decontaminate.digest(list(found)), bool(hit)] += 1
     docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     assert collections.Counter(map(tuple, decontaminate.contamination(docs, bench, block_words=block).drop("spans", "items").collect())) == expected
+    for r in decontaminate.contamination(docs, bench, block_words=block).collect():
+        ends = r.spans
+        assert ends == sorted(set(ends)) and len(ends) % 2 == 0 and sum(ends[1::2]) - sum(ends[::2]) == r.n_hit
     clean = decontaminate.clean(docs, bench, block_words=block)
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in expected.items() if not k[-1])
 
@@ -357,6 +385,9 @@ def test_line_dedup(spark, rows):
     assert short[31].n_removed >= 1 and texts[1] not in short[31].text and texts[31].split("\n")[0] in short[31].text
     kept = line_dedup.deduplicated(docs)
     assert kept.columns == docs.columns and kept.where("text is null").count() == sum(t is None for _, t in data)
+    left = line_dedup.deduplicated(docs, emptied=False)
+    assert left.columns == docs.columns and left.where("text is null").count() == sum(t is None for _, t in data)
+    assert sorted(r.text for r in left.where("text is not null").collect()) == sorted(r.text for r in kept.where("text is not null").collect() if r.text.strip() or r.doc_id in (21, 22))
 
 
 def test_line_dedup_aligns_all_earlier_documents(spark):
