@@ -8,7 +8,7 @@ occurrence of a window is hit.
 The set is shared as a whole only while the benchmark has at most `block_words` words, which is counted first. A larger
 benchmark is taken in blocks of that size, each against all documents, and the hits of the blocks are united.
 
-Null texts have no words. Documents without words have no hits. Null item ids hit like any other, but are not listed.
+Null texts have no words; very long texts are scanned whole, one at a time. Documents without words have no hits. Null item ids hit like any other, but are not listed.
 Rows that share doc_id and text get the same result each. Extra columns are ignored; with an empty benchmark nothing is
 contaminated.
 """
@@ -16,12 +16,13 @@ contaminated.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, keyed, out, raw, sliced
@@ -82,17 +83,27 @@ class Windows:
                         yield i, size, owners[k]
 
 
+#: The windows that this worker made last, by the name of their block: made once, not by every task.
+_last: dict[str, Windows] = {}
+
+
+def _ready(name: str, shared, n: int) -> Windows:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Windows(shared.value, n)
+    return _last[name]
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 _FOUND_SQL = "doc_id long, same long, n_words long, spans array<int>, items array<string>"
 
 
 def _scan(docs: DataFrame, items: list, n: int) -> DataFrame:
     """Of each row: the merged spans of its hit words (start, end, start, end ...) and the items found."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    cache: dict = {}
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = cache.setdefault("windows", None) or cache.setdefault("new", Windows(shared.value, n))
+        look = _ready(name, shared, n)
         get = look.vocabulary.get
         for batch in sliced(batches):
             lists = [words_of(t) for t in raw(batch)]
@@ -131,14 +142,16 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list]:
         yield block
 
 
-def _united(spans):
-    merged: list[int] = []
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)) if spans else ():
-        if merged and a <= merged[-1]:
-            merged[-1] = max(merged[-1], b)
-        else:
-            merged += [a, b]
-    return merged
+def _united(spans: Column) -> Column:
+    """Spans (start, end, start, end ...) in order, those that touch made one."""
+    pairs = F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(spans) / 2).cast("int") - 1)), lambda i: F.struct(spans[i * 2].alias("a"), spans[i * 2 + 1].alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+
+    def step(acc: Column, p: Column) -> Column:
+        n = F.size(acc)
+        last = F.element_at(acc, -1)
+        return F.when((n > 0) & (p["a"] <= last), F.concat(F.slice(acc, 1, n - 1), F.array(F.greatest(last, p["b"])))).otherwise(F.concat(acc, F.array(p["a"], p["b"])))
+
+    return F.aggregate(F.array_sort(pairs), F.array().cast("array<int>"), step)
 
 
 def found(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -163,9 +176,8 @@ def found(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, block_words: in
     for x in rest[1:]:
         more = more.unionByName(x)
     more = more.groupBy("doc_id", "same").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
-    unite = F.udf(_united, "array<int>")
     both = base.alias("b").join(more.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.same") == F.col("m.same")), "left")
-    return both.select("b.doc_id", "b.same", "b.n_words", F.when(F.col("m.s").isNull(), F.col("b.spans")).otherwise(unite(F.concat("b.spans", "m.s"))).alias("spans"), F.array_sort(F.array_union("b.items", F.coalesce("m.i", F.array().cast("array<string>")))).alias("items"))
+    return both.select("b.doc_id", "b.same", "b.n_words", F.when(F.col("m.s").isNull(), F.col("b.spans")).otherwise(_united(F.concat("b.spans", "m.s"))).alias("spans"), F.array_sort(F.array_union("b.items", F.coalesce("m.i", F.array().cast("array<string>")))).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
