@@ -16,7 +16,7 @@ Documents are in the order of doc_id (null first), then of the text's hash. Line
 white space at either end; empty lines never match by themselves, but go with a block that they stand in. Alignment is
 judged on the input: what an earlier document lost itself still counts.
 
-Null texts count as empty. Rows that share doc_id and text are one document here, and get the same result. Extra columns
+Null texts count as empty; very long texts are aligned whole. Rows that share doc_id and text are one document here, and get the same result. Extra columns
 are ignored (`deduplicated` keeps them); an empty table gives an empty result.
 """
 
@@ -264,11 +264,16 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, text string")
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs, all columns as they are, but text without the deleted lines (null stays null)."""
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, emptied: bool = True) -> DataFrame:
+    """docs, all columns as they are, but text without the deleted lines (null stays null).
+
+    Without `emptied` the rows that lose all of their text go; those that had none stay.
+    """
     cuts = cut_lines(docs, min_chars)
     same = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(cuts["cut_doc"]) & (same == cuts["cut_same"]), "left")
     lines = F.split(docs["text"], "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.exists(cuts["spans"], lambda s: (s["start"] <= i) & (i < s["end"]))), "\n")
+    if not emptied:
+        joined = joined.where(cuts["spans"].isNull() | left.rlike(r"\S"))
     return joined.select(*[F.when(cuts["spans"].isNull(), docs["text"]).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns])
