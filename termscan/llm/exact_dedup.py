@@ -8,7 +8,7 @@ Each task first folds the equal blocks it meets itself, so that a text with mill
 each task, not once by each copy, and no reducer gets more rows of one block than there are tasks. Contents are
 shuffled once; everything after the first naming moves integers only.
 
-Null texts count as empty. Rows with the same doc_id are rows of their own. A null doc_id is never the row that
+Null texts count as empty; very long texts are many blocks. Rows with the same doc_id are rows of their own. A null doc_id is never the row that
 stays unless all of its group have none; then keep_id is null and those rows count as kept. Extra columns of the
 input are ignored. An empty table gives an empty result.
 """

@@ -495,6 +495,95 @@ def _within(part, whole):
     return all(x in it for x in part)
 
 
+def brute_lines(data):
+    """What alignment with all earlier documents leaves of each row's text; None for null."""
+    order = sorted({(i, t or "") for i, t in data}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    codes = {k: [x.tolist() for x in line_dedup.line_codes(k[1].encode())] for k in order}
+    kept = {}
+    for k, row in enumerate(order):
+        gone, (b, sizes) = set(), codes[row]
+        for other in order[:k]:
+            gone |= {x for _, q, n in line_dedup.patience(codes[other][0], b) if sum(sizes[q : q + n]) >= 40 for x in range(q, q + n)}
+        kept[row] = "\n".join(x for n, x in enumerate(row[1].split("\n")) if n not in gone)
+    return [(i, None if t is None else kept[i, t]) for i, t in data]
+
+
+def brute_hit(items, text):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    found = [split(b) for _, b in items]
+    windows = {tuple(w[k : k + min(10, len(w))]) for w in found if w for k in range(len(w) - min(10, len(w)) + 1)}
+    words = split(text)
+    return any(tuple(words[j : j + n]) in windows for n in {len(w) for w in windows} for j in range(len(words) - n + 1))
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import sentencepiece
+
+    rng = random.Random(31)
+    lines = [prose(rng, n) for n in (12, 14, 16, 9, 20, 25)]
+    items = [(1, prose(rng, 14)), (2, None), (None, prose(rng, 11))]
+    data = []
+    for i in range(150):
+        text = [prose(rng, rng.randint(20, 40)), *rng.sample(lines, rng.randint(0, 2)), prose(rng, rng.randint(5, 30))]
+        if i % 5 == 0:
+            text.insert(1, "you st\u0443pid 1diot, " + prose(rng, 4))
+        if i % 11 == 0:
+            text.append(items[0][1].upper().replace(" ", ", "))
+        data.append((i, "\n".join(text)))
+    near = data[7][1].split()
+    data += [(200, " ".join([*near[:-1], "other"])), (201, data[8][1]), (201, data[8][1]), (202, lines[0] + "\n" + lines[1]), (203, None), (204, ""), (204, ""), (205, " \n "), (None, data[9][1]), (None, None), (206, items[2][1]), (207, prose(rng, 30) * 400)]
+    order = [0, *rng.sample(range(1, len(data)), len(data) - 1)]
+    spark.createDataFrame([(*data[k], "en", "s", 3, 1, 0.5, 9) for k in order], "doc_id long, text string, lang string, source string, n_chars long, same long, score double, gid long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(150)] + [(3, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels)
+    assert lexicon.weights
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    count = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    steps = [data]
+    steps.append([(i, t) for i, t in data if lexicon.score(t or "") < 0.3])
+    steps.append([(i, t) for (i, old), (_, t) in zip(steps[1], brute_lines(steps[1]), strict=True) if (t or "").strip() or not (old or "").strip()])
+    components = brute_components(steps[2])
+    assert len(steps[0]) > len(steps[1]) > len(steps[2]) and steps[1] != steps[2]
+    store, after = Scratch(spark, "stages"), docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, after, str(tmp_path))
+        if k == 4:
+            break
+        assert made.columns == docs.columns
+        after = store.put(made, name)
+        if k < 2:
+            assert count(after) == collections.Counter(steps[k + 1]), name
+        elif k == 2:
+            ids = collections.Counter({i: n for (i, size, _), n in components.items() if not size}) + collections.Counter({c: 1 for _, size, c in components if size})
+            assert collections.Counter(r.doc_id for r in after.collect()) == ids and count(after) <= collections.Counter(steps[2])
+            steps.append([(r.doc_id, r.text) for r in after.collect()])
+        else:
+            steps.append([(i, t) for i, t in steps[3] if not brute_hit(items, t)])
+            assert count(after) == collections.Counter(steps[4]) and len(steps[4]) < len(steps[3]) < len(steps[2])
+    expected = collections.Counter()
+    for i, t in steps[4]:
+        ids = lib.encode(t or "")
+        expected[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()] += 1
+    assert collections.Counter(map(tuple, made.collect())) == expected
+    assert collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == collections.Counter(i for i, _ in steps[4])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns and made.collect() == [], name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
