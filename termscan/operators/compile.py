@@ -16,8 +16,9 @@ PASS, FAILED = "PASS", "FAILED"
 STANDARD, RAW = "Standard", "NLT"
 #: Other names of the two types.
 TYPES = {"Standard": STANDARD, "NLT": RAW, "NATURAL_LANGUAGE": STANDARD, "REGEX": RAW}
-#: Declared limit of a request; not enforced.
+#: Declared limit of a request's terms, not enforced; and of a file's bytes.
 MAX_TERMS = 1000
+MAX_BYTES = 10 << 20
 
 RESULT = "position int, term_id string, term_description string, risk_driver_name string, term_type string, status string, pattern string, error_log string, translation_error string, flags int, post_filter boolean, warning string"
 #: Names of flags. The name of 0 stands for no flag.
@@ -38,20 +39,47 @@ def compile_term(description: str | None, term_type: str = STANDARD) -> dict:
     return row | {"status": PASS, "post_filter": done.post_filter}
 
 
+class RequestError(ValueError):
+    """A request with wrong fields: what is wrong, by the field's name."""
+
+    def __init__(self, fields: dict[str, str]):
+        super().__init__("; ".join(f"{name} {what}" for name, what in fields.items()))
+        self.fields = fields
+
+
+class TooLarge(ValueError):
+    """A file beyond MAX_BYTES."""
+
+
 def checked(lexicon: Iterable[dict]) -> list[dict]:
-    """Validates a request: terms there, ids and descriptions not blank, known types."""
-    rows = [dict(t) for t in lexicon]
+    """Validates a request: terms there, ids and descriptions not blank, known types. Names all fields that are wrong."""
+    rows, wrong = [dict(t) for t in lexicon], {}
     if not rows:
-        raise ValueError("terms must not be empty")
+        wrong["terms"] = "must not be empty"
     for i, t in enumerate(rows):
         for name in ("term_id", "term_description"):
             if not (t.get(name) or "").strip():
-                raise ValueError(f"terms[{i}].{name} must not be blank")
+                wrong[f"terms[{i}].{name}"] = "must not be blank"
         if (t.get("term_type") or STANDARD) not in TYPES:
-            raise ValueError(f"terms[{i}].term_type must be one of {', '.join(TYPES)}")
+            wrong[f"terms[{i}].term_type"] = f"must be one of {', '.join(TYPES)}"
+    if wrong:
+        raise RequestError(wrong)
     return rows
 
 
+def sized(body: bytes) -> bytes:
+    """A file's bytes, if they are not too many."""
+    if len(body) > MAX_BYTES:
+        raise TooLarge(f"{len(body)} bytes; {MAX_BYTES} at most")
+    return body
+
+
+def error_response(error: Exception) -> dict:
+    """What a service answers: 400 with the wrong fields, 413 for a file too large, 500 for all else."""
+    status = 400 if isinstance(error, RequestError) else 413 if isinstance(error, TooLarge) else 500
+    return {"status": status, "message": str(error), "field_errors": getattr(error, "fields", {})}
+
+
 def compile_terms(spark: SparkSession, lexicon: Iterable[dict]) -> DataFrame:
     """Results in the order of the request; position is the expression id, with gaps where terms fail."""
     rows = []

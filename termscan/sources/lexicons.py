@@ -30,7 +30,7 @@ def read_csv(spark: SparkSession, path: str, rule: str | None = None) -> DataFra
     named = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *[F.trim(c).alias(c) for c in ("c0", "c1", "c2")])
     first = named.groupBy("file").agg(F.min("at").alias("first"))
     header = F.col("at").eqNullSafe(F.col("first")) & F.lower(F.coalesce("c0", F.lit(""))).contains("term id")
-    kept = named.join(F.broadcast(first), "file").where(~header & ~F.coalesce("c0", F.lit("")).startswith("#") & F.col("c1").isNotNull() & (F.concat_ws("", "c0", "c1", "c2") != ""))
+    kept = named.join(first, "file").where(~header & ~F.coalesce("c0", F.lit("")).startswith("#") & F.col("c1").isNotNull() & (F.concat_ws("", "c0", "c1", "c2") != ""))
     name = F.lit(rule.strip()) if rule and rule.strip() else rule_name(F.col("file"))
     return kept.select(name.alias("rule"), F.col("c0").alias("term_id"), F.col("c1").alias("term_description"), F.nullif(F.col("c2"), F.lit("")).alias("risk_driver_name"))
 

@@ -122,3 +122,14 @@ def test_response_counters_and_notes(spark):
     assert totals.scan_duration_ms == 1500
     relaxed = spark.createDataFrame([("a",), ("b",), (None,)], "t string").select(relaxed_match(F.col("t"), "a AND b")).collect()
     assert [r[0] for r in relaxed] == [True, True, False]
+
+
+def test_errors_and_their_answers():
+    with pytest.raises(lexicons.RequestError) as wrong:
+        lexicons.checked([{"term_id": "1", "term_description": " "}, {"term_id": None, "term_description": "x", "term_type": "Other"}])
+    answer = lexicons.error_response(wrong.value)
+    assert answer["status"] == 400 and list(answer["field_errors"]) == ["terms[0].term_description", "terms[1].term_id", "terms[1].term_type"]
+    with pytest.raises(lexicons.TooLarge) as large:
+        lexicons.sized(b"x" * (lexicons.MAX_BYTES + 1))
+    assert lexicons.error_response(large.value)["status"] == 413 and lexicons.error_response(KeyError("x"))["status"] == 500
+    assert lexicons.error_response(lexicons.RequestError({"terms": "must not be empty"}))["message"] == "terms must not be empty"
