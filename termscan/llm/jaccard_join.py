@@ -56,7 +56,7 @@ PERCENT = 75
 COUNTED, OFTEN, FREQUENT, SHARED = 3_000_000, 3, 30, 1_000_000
 #: Longs of a set's bitmap.
 BITMAP = 16
-#: Groups of a list up to which bitmaps are left to the narrowing of pairs: they would weigh more than the pairs.
+#: Groups of a list up to which its pairs are made without bitmaps, which would weigh more than the pairs; they are narrowed later.
 SHORT = 4
 #: Listed shingles before a list's that are looked at for an earlier one that two sets share.
 EARLIER = 4
@@ -351,18 +351,20 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     spread = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
     listed = store.put(listed.join(spread, "gid"), "spread")
     open_ = store.put(listed.select("lo", "hi", F.explode("listed.token").alias("token")).groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df"), "open")
-    marked = listed.select("*", F.posexplode("listed").alias("i", "x")).selectExpr("x.token", "gid as cid", "n", "lo", "hi", "size", "x.at", "i", *_before("listed", ".token"))
-    marked = marked.join(open_, "token").join(classes.select("cid", "bits"), "cid").withColumn("bits", F.expr(f"if(size = 1 and df > {SHORT}, bits, null)")).drop("size", "df")
-    marked = store.put(marked, "marked")
-    apart = _open_pairs(marked, percent, "x.cid < y.cid and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
+    opened = listed.select("*", F.posexplode("listed").alias("i", "x")).selectExpr("x.token", "gid as cid", "n", "lo", "hi", "size", "x.at", "i", *_before("listed", ".token")).join(open_, "token")
+    short = opened.where(f"df <= {SHORT}").withColumn("bits", F.lit(None).cast("array<long>"))
+    long = opened.where(f"df > {SHORT}").join(classes.select("cid", "bits"), "cid").withColumn("bits", F.expr("if(size = 1, bits, null)"))
+    long = store.put(long.drop("size", "df"), "marked")
+    between = "x.cid < y.cid and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)"
+    apart = _open_pairs(short, percent, between).unionByName(_open_pairs(long, percent, between)).distinct()
     parted = placed.join(spread.where("lo < hi").select("gid"), "gid", "left_semi").join(classes.select("cid", "n", "bits"), "cid")  # groups in several components
     parted = parted.alias("x").join(parted.alias("y"), F.expr(f"x.gid = y.gid and x.root < y.root and ({_bits_sql('x', 'y', _enough_sql('x.n', 'y.n', percent))})")).selectExpr("x.cid as a", "y.cid as b")
     one, other = placed.toDF("x", "a", "root_a"), placed.toDF("y", "b", "root_b")
     expanded = store.put(apart, "apart").join(one, "a").join(other, "b").where("root_a <> root_b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     rest = store.put(expanded.unionByName(parted), "pairs2")
     last = _linked(rows, classes, rest, store, "links2", words, percent)
-    between = last.join(placed.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(placed.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    tops = components(between, store, "cc2").selectExpr("node", "root as higher")
+    met = last.join(placed.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(placed.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    tops = components(met, store, "cc2").selectExpr("node", "root as higher")
     final = store.put(placed.join(tops, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("higher", "root").alias("top")), "final")
     store.drop("followers", "listed", "spread", "open", "marked", "apart", "pairs1", "pairs2", "placed")
 
