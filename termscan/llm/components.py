@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ def components(links: DataFrame, store: Scratch, name: str) -> DataFrame:
     rounds grows with the logarithm of the nodes. Each round is a table of its own, so a lost executor costs one round.
     """
     edges = store.put(links.selectExpr("greatest(a, b) a", "least(a, b) b").where("a > b").distinct(), f"{name}-0")
+    if edges.isEmpty():
+        return edges.toDF("node", "root")
     last = None
-    for turn in range(1, 100):
+    for turn in count(1):
         both = edges.unionByName(edges.selectExpr("b a", "a b"))
         least = store.put(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-m{turn}")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

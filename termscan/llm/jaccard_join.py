@@ -284,6 +284,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, store: Scratch, name: str, words: int, percent: int) -> DataFrame:
     """The table of the pairs a, b whose whole sets link; the sets are kept only until it is written."""
     near = store.put(_narrowed(pairs, classes, percent), f"near-{name}")
+    if near.isEmpty():
+        return near
     wanted = store.put(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct(), f"wanted-{name}")
     sets = store.put(_fetched(rows, classes, wanted, words), f"sets-{name}")
     found = store.put(_verified(near, sets, percent), name)

@@ -406,6 +406,14 @@ def test_line_dedup_aligns_all_earlier_documents(spark):
     assert got == expected
 
 
+def test_line_dedup_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(14)
+    long = "\n".join(prose(rng, 8) for _ in range(6000))
+    data = [(1, long), (2, long + "\nown line " + prose(rng, 9)), (2, long + "\nown line " + prose(rng, 9)), (3, "x" * 3_000_000), (4, "x" * 3_000_000), (4, "x" * 3_000_000), (None, "alone"), (None, "alone"), (5, None), (5, None), (6, ""), (6, "")]
+    got = collections.Counter((r.doc_id, r.text) for r in line_dedup.line_report(table(spark, data)).collect())
+    assert got == collections.Counter((i, t or "") for i, t in brute_lines(data))
+
+
 def test_patience_brute():
     rng = random.Random(1)
     for _ in range(300):
@@ -428,6 +436,9 @@ def test_html(spark):
     ]
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_extract.extracted(spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, lines string")).where("page_id is null or page_id <> 1").collect()}
     assert got == {(2, "http://h/a/2"): ("own text", 8), (3, "http://h/a/3"): ("other text", 10), (4, None): ("", 0), (5, "http://h/b"): ("", 0), (None, "http://[bad"): ("q", 1)}
+    again = [(7, "http://h/c", PAGE % "<article>q</article>", "c", 1, 2)] * 3 + [(8, "http://h/d", PAGE % ("<p>" + "word " * 400_000), "c", 1, 2)]
+    many = html_extract.extracted(spark.createDataFrame(again, "page_id long, url string, html string, host string, path int, seat int"))
+    assert collections.Counter((r.page_id, r.n_chars) for r in many.collect()) == {(7, 1): 3, (8, 1_999_999): 1}
     first = html_extract.extracted(spark.createDataFrame(pages[:1], "page_id long, url string, html string")).first()
     assert first.text == "T & x\n\none two\n\nthree"
 
@@ -584,18 +595,6 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect() == []
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = stage(spark, docs, sf)
-        assert k == len(corpus_pipeline.STAGES) - 1 or after.columns == docs.columns
-        docs = Scratch(spark, "pipe").put(after, "x") if k < len(corpus_pipeline.STAGES) - 1 else after
-    assert 0 < docs.count() <= 200
-
-
 def test_bitmaps_never_claim_too_much():
     rng = np.random.default_rng(3)
     for n in (1, 40, 700, 5000):
