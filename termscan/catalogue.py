@@ -538,8 +538,9 @@ FROM ({_PAIRS}) p LEFT JOIN (SELECT message_id, term_id, count(*) AS n, bool_and
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = spark.createDataFrame([("license", False, False), ("that", False, True), ("bad", True, False)], "term_id string, failed boolean, post_filter boolean")
-    pairs = _docs(spark, sf_dir).select(F.col("doc_id").alias("message_id")).join(F.broadcast(lexicon))  # a fixed lexicon of three terms
+    lexicon = [("license", False, False), ("that", False, True), ("bad", True, False)]
+    each = F.array(*[F.struct(F.lit(i).alias("term_id"), F.lit(failed).alias("failed"), F.lit(post).alias("post_filter")) for i, failed, post in lexicon])
+    pairs = _docs(spark, sf_dir).select(F.col("doc_id").alias("message_id"), F.explode(each).alias("t")).select("message_id", "t.*")
     return report.term_states(pairs, _licensed(spark, sf_dir))
 
 
