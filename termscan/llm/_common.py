@@ -101,10 +101,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 class Remembered(dict):
-    """Bytes by word, as long as they take no more than `LIMIT` of memory, by a rough measure."""
+    """Bytes by word, as long as they take no more than `limit` bytes of memory, by a rough measure."""
 
-    LIMIT = 128 << 20
-    held = 0
+    held, limit = 0, 128 << 20
 
     def fits(self, word: str | bytes, size: int = 0) -> None:
         """Counts a word that is remembered; size: bytes of what is remembered of it."""
@@ -112,7 +111,7 @@ class Remembered(dict):
 
     @property
     def full(self) -> bool:
-        return self.held > self.LIMIT
+        return self.held > self.limit
 
     def joined(self, cut: list[list], learn) -> list[bytes]:
         """The bytes of each row's words; learn(words) makes those known that are new."""

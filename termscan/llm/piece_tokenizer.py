@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from ._common import Remembered, keyed, out, sliced, texts
 
 MARK = "▁"
+#: Bytes of distinct words and their ids that a worker remembers, by a rough measure; beyond it the memory starts anew.
+REMEMBERED = 40 << 20
 #: Symbols that the merge rounds take at a time.
 ROUND_SYMBOLS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -92,7 +94,7 @@ class PieceModel:
             left = left[self.table[slot] != left]
             self.probes += 1
         self.run = self._runs()
-        self.words = Remembered()
+        self._forget()
         whole = [b" \xe2\x81\x87 " if kind == UNKNOWN else b"" if kind == CONTROL else bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
         self.kinds = np.array([kind for *_, kind in pieces])
         self.width = np.array([len(x) for x in whole], np.int64)
@@ -100,6 +102,10 @@ class PieceModel:
         self.letters = np.frombuffer(b"".join(whole), np.uint8)
         self.decimal = [str(i) for i in range(self.size)]
 
+    def _forget(self) -> None:
+        self.words = Remembered()
+        self.words.limit = REMEMBERED
+
     def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * probe & (1 << 64) - 1)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -252,7 +258,7 @@ class PieceModel:
         """The ids of each text, as the library gives them without begin and end ids."""
         cut = [self.split(t) for t in rows]
         if self.words.full:
-            self.words = Remembered()
+            self._forget()
         return [np.frombuffer(x, "<u4") for x in self.words.joined(cut, lambda new: self._learn(list(new)))]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -346,11 +346,10 @@ def test_jaccard_join_counts_all_links(spark, monkeypatch):
 
 
 def test_caches_are_bounded_by_bytes(monkeypatch):
-    from termscan.llm import _common
-
     model, words = piece_tokenizer.PieceModel(P.path("piece_bpe_32k.model")), [f"w{k}" for k in range(4000)]
     expected = [x.tolist() for x in model.encode(words)]
-    monkeypatch.setattr(_common.Remembered, "LIMIT", 5000)
+    monkeypatch.setattr(piece_tokenizer, "REMEMBERED", 5000)
+    model._forget()
     for k in range(0, 4000, 50):
         assert [x.tolist() for x in model.encode(words[k : k + 50])] == expected[k : k + 50] and model.words.held < 5000 + 50 * 200
     counter = token_counts.PairCounter(P.path("byte_bpe_50k.json"), P.PATTERN)
