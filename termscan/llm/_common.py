@@ -57,9 +57,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Rows that Spark sends to Python at once, so that a batch of long texts stays within tens of MB."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2_000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Rows and bytes that Spark sends to Python at once, so that a batch of long texts stays within some MB."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if int(spark.conf.get(name).rstrip("b")) > most:
+            spark.conf.set(name, str(most))
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
