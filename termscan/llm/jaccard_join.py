@@ -176,19 +176,29 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
-def _frequent(rows: DataFrame, words: int) -> np.ndarray:
-    """Shingles that come up often within some task's stretch of documents, the most frequent first to be shared."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+def _digests(parts: list[np.ndarray]) -> list[bytes]:
+    return [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in parts]
+
+
+_SEEN = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("h", pa.int64()), ("times", pa.int64())])
+_SEEN_SQL = "doc_id long, same long, n int, digest binary, h long, times long"
+
+
+def _seen(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, same, n and digest (of the set) of every row, and h and times of shingles that come up often in a task's stretch."""
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.sort(np.concatenate(parts))
         heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         n = np.diff(np.append(heads, len(flat)))
-        return out({"h": flat[heads][n >= OFTEN].view(np.int64), "n": n[n >= OFTEN]}, schema)
+        found = pa.array(flat[heads][n >= OFTEN].view(np.int64))
+        return out({c: pa.nulls(len(found), _SEEN.field(c).type) for c in _SEEN.names[:4]} | {"h": found, "times": n[n >= OFTEN]}, _SEEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for _, sets in _shingled(batches, words):
+        for batch, sets in _shingled(batches, words):
+            none = pa.nulls(len(sets), pa.int64())
+            yield out({"d": batch.column("doc_id"), "s": batch.column("same"), "n": [len(x) for x in sets], "i": _digests(sets), "h": none, "t": none}, _SEEN)
             parts += [s for s in sets if len(s)]
             held += sum(map(len, sets))
             if held > COUNTED:
@@ -197,7 +207,12 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
         if parts:
             yield counted(parts)
 
-    top = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(SHARED).select("h")
+    return rows.mapInArrow(run, _SEEN_SQL)
+
+
+def _frequent(seen: DataFrame) -> np.ndarray:
+    """Shingles that come up often within some task's stretch of documents, the most frequent first to be shared."""
+    top = seen.where("h is not null").groupBy("h").agg(F.sum("times").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(SHARED).select("h")
     return np.sort(np.array([r[0] for r in top.toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -205,9 +220,9 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int3
 _SKETCH_SQL = "doc_id long, same long, n int, digest binary, alike binary, bits array<long>, wide binary, prefix array<long>"
 
 
-def _sketches(rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """doc_id, same, n, digest (of the set), alike (of size and prefix), bits and wide (its bitmaps) and prefix of every row."""
-    often = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))
+    often = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def first(codes: np.ndarray, common: np.ndarray) -> np.ndarray:
         if len(common):
@@ -221,9 +236,8 @@ def _sketches(rows: DataFrame, words: int, percent: int) -> DataFrame:
             prefixes = [first(codes, common) for codes in sets]
             cuts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefixes).view(np.int64)))
-            named = [[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in y] for y in (sets, prefixes)]
             maps = pa.ListArray.from_arrays(pa.array(np.arange(0, BITMAP * len(sets) + 1, BITMAP, np.int32)), pa.array(np.concatenate([bitmap(x) for x in sets])))
-            yield out({"d": batch.column("doc_id"), "s": batch.column("same"), "n": [len(x) for x in sets], "i": named[0], "a": named[1], "b": maps, "w": [wide_bitmap(x) for x in sets], "p": lists}, _SKETCH)
+            yield out({"d": batch.column("doc_id"), "s": batch.column("same"), "n": [len(x) for x in sets], "i": _digests(sets), "a": _digests(prefixes), "b": maps, "w": [wide_bitmap(x) for x in sets], "p": lists}, _SKETCH)
 
     return rows.mapInArrow(run, _SKETCH_SQL)
 
@@ -324,19 +338,19 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     """The rows of near_duplicates with top, a number of their component (null without shingles)."""
     store = Scratch(docs.sparkSession, "jaccard-join")
     rows = keyed(docs).withColumn("same", F.xxhash64("text"))
-    sketch = store.put(_sketches(rows, words, percent), "sketches")
-    classes = sketch.where("n > 0").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "same")).alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("alike", "bits", "wide", "prefix")])
+    seen = store.put(_seen(rows, words), "seen")
+    whole = seen.where("h is null").select("doc_id", "same", "n", "digest")
+    classes = _sketches(rows, _frequent(seen), words, percent).where("n > 0").groupBy("n", "digest").agg(F.min(F.struct("doc_id", "same")).alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("alike", "bits", "wide", "prefix")])
     classes = store.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    whole = store.put(sketch.select("doc_id", "same", "n", "digest"), "members")
-    store.drop("sketches")
 
     # 3. groups and posting lists
     several = classes.groupBy("n", "alike").agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1")
     followers = store.put(classes.select("cid", "n", "alike").join(several, ["n", "alike"]).where("cid <> gid").select("gid", "cid"), "followers")
     leaders = classes.join(followers.select("cid"), "cid", "left_anti")
-    postings = leaders.select("cid", "n", F.posexplode("prefix").alias("at", "token")).select("token", F.col("cid").alias("gid"), "n", "at")
-    shared = postings.repartitionByRange("token", "gid").sortWithinPartitions("token", "gid").mapInArrow(_several, "token long, gid long, n int, at int")
-    listed = store.put(shared.groupBy("gid", "n").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("listed")), "listed")  # a prefix at most
+    postings = leaders.select(F.col("cid").alias("gid"), F.posexplode("prefix").alias("at", "token")).select("token", "at", "gid")
+    shared = postings.repartitionByRange("token", "gid").sortWithinPartitions("token", "gid").mapInArrow(_several, "token long, at int, gid long")
+    listed = shared.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("listed"))  # a prefix at most
+    listed = store.put(listed.join(classes.select(F.col("cid").alias("gid"), "n"), "gid"), "listed")
 
     # 4. stars
     own = listed.select("gid", "n", F.expr(f"size(listed) / {_prefix_sql('n', percent)}").alias("share"), F.explode("listed.token").alias("token"))
@@ -352,21 +366,27 @@ def _members(docs: DataFrame, words: int, percent: int, count: bool) -> DataFram
     placed = store.put(placed, "placed")
     spread = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
     listed = store.put(listed.join(spread, "gid"), "spread")
+    store.drop("listed", "pairs1")
     open_ = store.put(listed.select("lo", "hi", F.explode("listed.token").alias("token")).groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df"), "open")
-    marked = listed.select("*", F.posexplode("listed").alias("i", "x")).selectExpr("x.token", "gid as cid", "n", "lo", "hi", "size", "x.at", "i", *_before("listed", ".token"))
-    marked = marked.join(open_, "token").join(classes.select("cid", "bits"), "cid").withColumn("bits", F.expr(f"if(size = 1 and df > {SHORT}, bits, null)")).drop("size", "df")
+    among = listed.select("gid", F.posexplode("listed.token").alias("i", "token")).join(open_, "token").groupBy("gid").agg(F.collect_list(F.struct("i", "df")).alias("among"))  # places of open lists
+    marked = listed.join(among, "gid").join(classes.select(F.col("cid").alias("gid"), "bits"), "gid").select("*", F.explode("among").alias("x"))
+    marked = marked.selectExpr("listed[x.i].token as token", "gid as cid", "n", "lo", "hi", "listed[x.i].at as at", "x.i as i", *_before("listed", ".token", "x.i"), f"if(size = 1 and x.df > {SHORT}, bits, null) as bits")
     marked = store.put(marked, "marked")
+    store.drop("open")
     apart = _open_pairs(marked, percent, "x.cid < y.cid and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
     parted = placed.join(spread.where("lo < hi").select("gid"), "gid", "left_semi").join(classes.select("cid", "n", "bits"), "cid")  # groups in several components
     parted = parted.alias("x").join(parted.alias("y"), F.expr(f"x.gid = y.gid and x.root < y.root and ({_bits_sql('x', 'y', _enough_sql('x.n', 'y.n', percent))})")).selectExpr("x.cid as a", "y.cid as b")
     one, other = placed.toDF("x", "a", "root_a"), placed.toDF("y", "b", "root_b")
-    expanded = store.put(apart, "apart").join(one, "a").join(other, "b").where("root_a <> root_b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    apart = store.put(apart, "apart")
+    store.drop("marked")
+    expanded = apart.join(one, "a").join(other, "b").where("root_a <> root_b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     rest = store.put(expanded.unionByName(parted), "pairs2")
+    store.drop("apart", "spread", "followers")
     last = _linked(rows, classes, rest, store, "links2", words, percent)
     between = last.join(placed.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(placed.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     tops = components(between, store, "cc2").selectExpr("node", "root as higher")
     final = store.put(placed.join(tops, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("higher", "root").alias("top")), "final")
-    store.drop("followers", "listed", "spread", "open", "marked", "apart", "pairs1", "pairs2", "placed")
+    store.drop("pairs2", "placed")
 
     named = store.put(classes.select("cid", "n", "digest", "least").join(final, "cid"), "named")
     named = named.join(named.groupBy("top").agg(F.min("least").alias("component_id")), "top")

@@ -306,6 +306,22 @@ def test_jaccard_join_on_documents(spark):
     assert collections.Counter(map(tuple, got.collect())) == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_jaccard_join_keeps_one_copy_of_prefixes(spark, monkeypatch):
+    docs, held, wide = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), {}, []
+    put, drop = Scratch.put, Scratch.drop
+
+    def seen(self, df, name, **by):
+        held[name] = put(self, df, name, **by)
+        wide.append({n for n, x in held.items() if {"prefix", "listed", "p1"} & set(x.columns)})
+        return held[name]
+
+    monkeypatch.setattr(Scratch, "put", seen)
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: (drop(self, *names), [held.pop(n, None) for n in names])[0])
+    jaccard_join.near_duplicates(docs, count=False).collect()
+    assert {"classes", "spread", "marked"} in wide and max(map(len, wide)) == 3  # sketches are no table, lists go once they are not needed
+    assert all("sketches" not in x for x in wide) and wide[-1] == {"classes"}
+
+
 def test_representatives_without_ids(spark):
     text = prose(random.Random(5), 30)
     data = [(None, text), (None, text + " x"), (None, text), (None, None), (None, ""), (7, "own words"), (7, "own words")]
